@@ -20,14 +20,14 @@ def read_whole(value: Column) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("double")
 
 
-def given(value: Column) -> Column:
-    """NaN and NULL both mean that no number was given."""
-    return F.when(~F.isnan(value), value)
-
-
 def or_default(value: Column, default: float) -> Column:
     """The number, or ``default`` where it is missing, NaN or zero."""
-    return F.when(given(value) != 0, value).otherwise(F.lit(float(default)))
+    return F.when((value != 0) & ~F.isnan(value), value).otherwise(F.lit(float(default)))
+
+
+def exceeds(value: Column, limit: float) -> Column:
+    """Whether a number is given and above ``limit``; never NULL."""
+    return F.when((value > limit) & ~F.isnan(value), True).otherwise(False)
 
 
 def whole(value: Column) -> Column:

@@ -1,8 +1,9 @@
 """Garment cost sheets over a table of styles.
 
-Every sheet reads inputs as doubles (NULL and NaN both mean "not given"), adds its result
-columns and ``reject_reason``: the first failed check, or NULL.  Rejected rows stay, with
-NULL results.  Results are not rounded; texts are rounded as a browser prints them.
+Every sheet reads inputs as doubles (NULL and NaN both mean "not given") and adds
+``reject_reason``, the first failed check or NULL, its numbers, unrounded, and their texts,
+rounded as a browser prints them.  Rejected rows stay, with NULL results.  The functions
+named ..._numbers leave the texts out.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import fixed_text, given, or_default, whole
+from ..functions.numbers import exceeds, fixed_text, or_default, whole
 
 # Reasons, limits, factors and class names of the sheets.
 BAD_SMV = "Please enter a valid SMV value greater than 0."
@@ -46,175 +47,231 @@ def _any(checks: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, checks)
 
 
-def _not_above(value: Column, limit: float) -> Column:
-    """Missing, or not above the limit."""
-    return F.coalesce(given(value) <= limit, F.lit(True))
+def _cleaned(styles: DataFrame, *names: str, default: float = 0.0) -> tuple[DataFrame, list[Column]]:
+    """Inputs with their default filled in, as columns of their own: each is worked out once
+    however often a sheet uses it, and the compiled code stays small."""
+    clean = {f"__{name}": or_default(F.col(name), default) for name in names}
+    return styles.withColumns(clean), [F.col(name) for name in clean]
 
 
-def _sheet(styles: DataFrame, checks: list[tuple[Column, str]], results: dict[str, Column]) -> DataFrame:
-    """Add the first failed check and, for rows that pass all, the results.
+def _refuse(styles: DataFrame, reason: str, *checks: tuple[Column, str]) -> DataFrame:
+    """Add the reason of the first failed check."""
+    return styles.withColumn(reason, F.coalesce(*[F.when(failed, why) for failed, why in checks]))
 
-    Results may use the names of earlier results.
-    """
-    reason = F.coalesce(*[F.when(failed, why) for failed, why in checks])
-    out = styles.withColumn(REASON, reason)
-    for name, value in results.items():
-        out = out.withColumn(name, F.when(F.col(REASON).isNull(), value))
-    return out
 
+def _passed(reason: str, value: Column) -> Column:
+    """A result that rests on inputs: NULL for rejected rows.  Results made of other results
+    need no guard, NULL carries on."""
+    return F.when(F.col(reason).isNull(), value)
 
-def sam_sheet(styles: DataFrame) -> DataFrame:
+
+def sam_numbers(styles: DataFrame, reason: str = REASON) -> DataFrame:
     """Standard minutes with allowance, and pieces per operator and hour.
 
     An allowance of -100 gives zero minutes and an unlimited target: NULL, flagged.
     """
     c = F.col
-    efficiency = or_default(c("efficiency"), 100.0)
-    per_hour = F.try_divide(F.lit(60.0), c("sam")) * (efficiency / 100)
-    return _sheet(
-        styles,
-        [(_not_above(c("smv"), 0.0), BAD_SMV)],
+    checked = _refuse(styles, reason, (~exceeds(c("smv"), 0.0), BAD_SMV))
+    sam = c("smv") * (1 + or_default(c("allowance"), 0.0) / 100)
+    per_hour = F.try_divide(F.lit(60.0), c("sam")) * (or_default(c("efficiency"), 100.0) / 100)
+    return checked.withColumn("sam", _passed(reason, sam)).withColumns(
+        {"target_per_hour": per_hour, "infinite_target": c("sam") == 0}
+    )
+
+
+def sam_sheet(styles: DataFrame) -> DataFrame:
+    c = F.col
+    target = F.when(c("infinite_target"), "Infinity").otherwise(fixed_text(c("target_per_hour"), 1))
+    return sam_numbers(styles).withColumns(
         {
-            "sam": c("smv") * (1 + or_default(c("allowance"), 0.0) / 100),
-            "target_per_hour": per_hour,
-            "infinite_target": c("sam") == 0,
             "sam_text": F.concat(fixed_text(c("sam"), 3), F.lit(" mins")),
-            "target_text": F.concat(
-                F.when(c("sam") == 0, "Infinity").otherwise(fixed_text(c("target_per_hour"), 1)), F.lit(" pcs/hr")
-            ),
-        },
+            "target_text": F.concat(target, F.lit(" pcs/hr")),
+        }
     )
 
 
-def gsm_sheet(styles: DataFrame) -> DataFrame:
+def gsm_numbers(styles: DataFrame, reason: str = REASON) -> DataFrame:
     """Weight per square metre of a swatch, and its class."""
     c = F.col
     rectangular = F.coalesce(c("swatch_type") == "rectangular", F.lit(False))
-    sides = _not_above(c("swatch_length"), 0.0) | _not_above(c("swatch_width"), 0.0)
-    kind = F.lit(GSM_HEAVIEST)
+    flat = ~exceeds(c("swatch_length"), 0.0) | ~exceeds(c("swatch_width"), 0.0)
+    checked = _refuse(
+        styles, reason, (~exceeds(c("swatch_weight"), 0.0), BAD_WEIGHT), (rectangular & flat, BAD_SWATCH)
+    )
+    area = F.when(rectangular, c("swatch_length") * c("swatch_width")).otherwise(CUTTER_AREA)
+    per_area = F.try_divide(c("swatch_weight") * 10000, c("area_cm2"))
+    gsm = F.when(rectangular, per_area).otherwise(c("swatch_weight") * 100)
+    kind = F.when(c("gsm_value").isNotNull(), GSM_HEAVIEST)
     for limit, name in reversed(GSM_CLASSES):
         kind = F.when(c("gsm_value") <= limit, name).otherwise(kind)
-    return _sheet(
-        styles,
-        [(_not_above(c("swatch_weight"), 0.0), BAD_WEIGHT), (rectangular & sides, BAD_SWATCH)],
+    return (
+        checked.withColumn("area_cm2", _passed(reason, area))
+        .withColumn("gsm_value", _passed(reason, gsm))
+        .withColumn("gsm_class", kind)
+    )
+
+
+def gsm_sheet(styles: DataFrame) -> DataFrame:
+    c = F.col
+    return gsm_numbers(styles).withColumns(
         {
-            "area_cm2": F.when(rectangular, c("swatch_length") * c("swatch_width")).otherwise(CUTTER_AREA),
-            "gsm_value": F.when(rectangular, F.try_divide(c("swatch_weight") * 10000, c("area_cm2"))).otherwise(
-                c("swatch_weight") * 100
-            ),
-            "gsm_class": kind,
             "gsm_text": F.concat(fixed_text(c("gsm_value"), 1), F.lit(" g/m²")),
             "area_text": F.concat(fixed_text(c("area_cm2"), 1), F.lit(" cm²")),
-        },
+        }
     )
 
 
-def thread_sheet(styles: DataFrame) -> DataFrame:
+def thread_numbers(styles: DataFrame, reason: str = REASON) -> DataFrame:
     """Thread per garment from seam length and stitch class."""
     c = F.col
-    wastage = or_default(c("wastage"), 0.0)
+    styles, (wastage,) = _cleaned(styles, "wastage")
+    checked = _refuse(
+        styles,
+        reason,
+        (~exceeds(c("seam_length"), 0.0), BAD_SEAM),
+        ((wastage < 0) | (wastage > 100), BAD_WASTAGE),
+    )
     factor = F.lit(THREAD_DEFAULT)
     for stitch, value in THREAD_FACTORS.items():
         factor = F.when(c("stitch_class") == stitch, value).otherwise(factor)
-    return _sheet(
-        styles,
-        [
-            (_not_above(c("seam_length"), 0.0), BAD_SEAM),
-            ((wastage < 0) | (wastage > 100), BAD_WASTAGE),
-        ],
+    return (
+        checked.withColumn("factor", _passed(reason, factor))
+        .withColumn("raw_thread", c("seam_length") * c("factor"))
+        .withColumn("total_thread", c("raw_thread") * (1 + wastage / 100))
+        .drop(wastage)
+    )
+
+
+def thread_sheet(styles: DataFrame) -> DataFrame:
+    c = F.col
+    return thread_numbers(styles).withColumns(
         {
-            "factor": factor,
-            "raw_thread": c("seam_length") * c("factor"),
-            "total_thread": c("raw_thread") * (1 + wastage / 100),
             "factor_text": F.concat(fixed_text(c("factor"), 1), F.lit("x")),
             "raw_thread_text": F.concat(fixed_text(c("raw_thread"), 2), F.lit(" m")),
             "thread_text": F.concat(fixed_text(c("total_thread"), 2), F.lit(" meters")),
-        },
+        }
     )
 
 
-def fabric_weight_sheet(styles: DataFrame) -> DataFrame:
+def fabric_weight_numbers(styles: DataFrame, reason: str = REASON) -> DataFrame:
     """Fabric per garment in grams and per dozen in kilograms."""
     c = F.col
-    wastage = or_default(c("wastage"), 0.0)
-    length, width = c("body_length") + HEM_ALLOWANCE, c("chest") + SEAM_ALLOWANCE
-    return _sheet(
+    styles, (wastage,) = _cleaned(styles, "wastage")
+    checked = _refuse(
         styles,
-        [
-            (_any([_not_above(c(name), 0.0) for name in ("chest", "body_length", "gsm")]), BAD_BODY),
-            ((wastage < 0) | (wastage > 100), BAD_WASTAGE),
-        ],
+        reason,
+        (_any([~exceeds(c(name), 0.0) for name in ("chest", "body_length", "gsm")]), BAD_BODY),
+        ((wastage < 0) | (wastage > 100), BAD_WASTAGE),
+    )
+    length, width = c("body_length") + HEM_ALLOWANCE, c("chest") + SEAM_ALLOWANCE
+    return (
+        checked.withColumn("raw_weight", _passed(reason, (length * width * 2 * c("gsm")) / 10000))
+        .withColumn("total_weight", c("raw_weight") * (1 + wastage / 100))
+        .withColumn("dozen_kg", (c("total_weight") * 12) / 1000)
+        .drop(wastage)
+    )
+
+
+def fabric_weight_sheet(styles: DataFrame) -> DataFrame:
+    c = F.col
+    return fabric_weight_numbers(styles).withColumns(
         {
-            "raw_weight": (length * width * 2 * c("gsm")) / 10000,
-            "total_weight": c("raw_weight") * (1 + wastage / 100),
-            "dozen_kg": (c("total_weight") * 12) / 1000,
             "raw_weight_text": F.concat(fixed_text(c("raw_weight"), 1), F.lit(" g")),
             "weight_text": F.concat(fixed_text(c("total_weight"), 1), F.lit(" grams")),
             "dozen_text": F.concat(fixed_text(c("dozen_kg"), 2), F.lit(" kg")),
-        },
+        }
     )
 
 
-def fabric_price_sheet(styles: DataFrame) -> DataFrame:
+def fabric_price_numbers(styles: DataFrame, reason: str = REASON) -> DataFrame:
     """Price of finished fabric per kilogram, with the loss in processing."""
     c = F.col
-    rates = [or_default(c(name), 0.0) for name in ("yarn", "knit", "dye")]
-    wastage = or_default(c("fabric_wastage"), 0.0)
-    return _sheet(
+    styles, (*rates, wastage) = _cleaned(styles, "yarn", "knit", "dye", "fabric_wastage")
+    checked = _refuse(
         styles,
-        [(_any([rate < 0 for rate in rates]), BAD_RATES), ((wastage < 0) | (wastage >= 50), BAD_LOSS)],
+        reason,
+        (_any([rate < 0 for rate in rates]), BAD_RATES),
+        ((wastage < 0) | (wastage >= 50), BAD_LOSS),
+    )
+    return (
+        checked.withColumn("raw_price", _passed(reason, rates[0] + rates[1] + rates[2]))
+        .withColumn("fabric_price", F.try_divide(c("raw_price"), 1 - wastage / 100))
+        .withColumn("loss_price", c("fabric_price") - c("raw_price"))
+        .drop(*rates, wastage)
+    )
+
+
+def fabric_price_sheet(styles: DataFrame) -> DataFrame:
+    c = F.col
+    return fabric_price_numbers(styles).withColumns(
         {
-            "raw_price": rates[0] + rates[1] + rates[2],
-            "fabric_price": F.try_divide(c("raw_price"), 1 - wastage / 100),
-            "loss_price": c("fabric_price") - c("raw_price"),
             "raw_price_text": fixed_text(c("raw_price"), 2),
             "loss_text": fixed_text(c("loss_price"), 2),
             "fabric_price_text": fixed_text(c("fabric_price"), 2),
-        },
+        }
     )
 
 
-def cm_sheet(styles: DataFrame) -> DataFrame:
+def cm_numbers(styles: DataFrame, reason: str = REASON) -> DataFrame:
     """Cut and make cost of a garment from the day's cost of a line."""
     c = F.col
-    operators = whole(or_default(c("operators"), 0.0))
-    wage, overhead, target, efficiency = (
-        or_default(c(name), 0.0) for name in ("wage", "overhead", "target", "line_efficiency")
-    )
-    return _sheet(
+    inputs = ("operators", "wage", "overhead", "target", "line_efficiency")
+    styles, (workers, wage, overhead, target, efficiency) = _cleaned(styles, *inputs)
+    operators = whole(workers)
+    checked = _refuse(
         styles,
-        [
-            ((operators <= 0) | (target <= 0) | (efficiency <= 0), BAD_LINE),
-            ((wage < 0) | (overhead < 0), BAD_WAGES),
-            (efficiency > 150, BAD_EFFICIENCY),
-        ],
+        reason,
+        ((operators <= 0) | (target <= 0) | (efficiency <= 0), BAD_LINE),
+        ((wage < 0) | (overhead < 0), BAD_WAGES),
+        (efficiency > 150, BAD_EFFICIENCY),
+    )
+    return checked.withColumns(
+        {
+            "day_cost": _passed(reason, overhead + operators * wage),
+            "expected_output": _passed(reason, target * (efficiency / 100)),
+        }
+    ).withColumn("cm_cost", F.try_divide(c("day_cost"), c("expected_output"))).drop(
+        workers, wage, overhead, target, efficiency
+    )
+
+
+def cm_sheet(styles: DataFrame) -> DataFrame:
+    c = F.col
+    return cm_numbers(styles).withColumns(
         {
-            "day_cost": overhead + operators * wage,
-            "expected_output": target * (efficiency / 100),
-            "cm_cost": F.try_divide(c("day_cost"), c("expected_output")),
             "day_text": fixed_text(c("day_cost"), 2),
             "output_text": F.concat(fixed_text(c("expected_output"), 0), F.lit(" pcs")),
             "cm_text": fixed_text(c("cm_cost"), 2),
-        },
+        }
     )
 
 
-def fob_sheet(styles: DataFrame) -> DataFrame:
+def fob_numbers(styles: DataFrame, reason: str = REASON) -> DataFrame:
     """Export price from the parts of the cost and a margin."""
     c = F.col
-    parts = [or_default(c(name), 0.0) for name in ("fabric", "cm", "trims", "accessories", "logistics")]
-    margin = or_default(c("margin"), 0.0)
-    return _sheet(
+    styles, (*parts, margin) = _cleaned(styles, "fabric", "cm", "trims", "accessories", "logistics", "margin")
+    checked = _refuse(
         styles,
-        [(_any([part < 0 for part in parts]), BAD_COSTS), ((margin < -50) | (margin > 200), BAD_MARGIN)],
+        reason,
+        (_any([part < 0 for part in parts]), BAD_COSTS),
+        ((margin < -50) | (margin > 200), BAD_MARGIN),
+    )
+    return (
+        checked.withColumn("base_cost", _passed(reason, reduce(lambda a, b: a + b, parts)))
+        .withColumn("fob", c("base_cost") * (1 + margin / 100))
+        .withColumn("profit", c("fob") - c("base_cost"))
+        .drop(*parts, margin)
+    )
+
+
+def fob_sheet(styles: DataFrame) -> DataFrame:
+    c = F.col
+    return fob_numbers(styles).withColumns(
         {
-            "base_cost": parts[0] + parts[1] + parts[2] + parts[3] + parts[4],
-            "fob": c("base_cost") * (1 + margin / 100),
-            "profit": c("fob") - c("base_cost"),
             "base_text": F.concat(F.lit("$"), fixed_text(c("base_cost"), 2)),
             "profit_text": F.concat(F.lit("$"), fixed_text(c("profit"), 2)),
             "fob_text": F.concat(F.lit("$"), fixed_text(c("fob"), 2)),
-        },
+        }
     )
 
 
@@ -222,19 +279,15 @@ def cost_chain(styles: DataFrame) -> DataFrame:
     """Fabric weight, fabric price, cut and make, and export price of every style.
 
     The sheets follow each other in one pass over the rows.  ``reject_reason`` is that of
-    the first sheet that refuses the style.
+    the first sheet that refuses the style; only a style no sheet refuses has a price.
     """
-    weight = fabric_weight_sheet(styles).withColumnRenamed(REASON, "__weight")
-    price = fabric_price_sheet(weight).withColumnRenamed(REASON, "__price")
-    line = cm_sheet(price).withColumnRenamed(REASON, "__line")
+    stages = ("__weight", "__price", "__line", "__fob")
+    line = cm_numbers(fabric_price_numbers(fabric_weight_numbers(styles, stages[0]), stages[1]), stages[2])
     inputs = line.withColumns(
         {"fabric": F.col("total_weight") / 1000 * F.col("fabric_price"), "cm": F.col("cm_cost")}
     )
-    fob = fob_sheet(inputs)
-    first = F.coalesce("__weight", "__price", "__line", REASON)
-    return fob.withColumn(REASON, first).drop("__weight", "__price", "__line").withColumns(
-        {name: F.when(F.col(REASON).isNull(), F.col(name)) for name in ("base_cost", "fob", "profit")}
-    )
+    priced = fob_numbers(inputs, stages[3]).withColumn(REASON, F.coalesce(*stages)).drop(*stages)
+    return priced.withColumns({name: _passed(REASON, F.col(name)) for name in ("base_cost", "fob", "profit")})
 
 
 def roll_up(sheets: DataFrame, group: str, amounts: list[str]) -> DataFrame:
@@ -243,7 +296,7 @@ def roll_up(sheets: DataFrame, group: str, amounts: list[str]) -> DataFrame:
     Amounts are summed as decimals, so totals do not depend on how rows are split; partial
     sums before the shuffle keep a very large group cheap.
     """
-    exact = {name: F.round(F.col(name), 6).cast("decimal(28,6)") for name in amounts}
+    exact = {name: F.col(name).cast("decimal(28,6)") for name in amounts}
     return sheets.groupBy(group).agg(
         F.count(F.lit(1)).alias("styles"),
         F.count(F.col(REASON)).alias("rejected"),

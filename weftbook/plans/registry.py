@@ -27,7 +27,7 @@ from ..operators import (
 from ..schemas import JOB_TYPES, LISTING_STATUSES, TABLES
 from ..session import run_folder
 from ..sources.exports import json_record
-from ..sources.testviews import Catalogue, from_events
+from ..sources.testviews import RAW_COLUMNS, Catalogue, from_events
 from ..streaming import contact
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -603,10 +603,9 @@ def costing_sheet(cat):
 
 def _taken_in(spark: SparkSession, sf_dir: str, inbox: bool) -> str:
     """Run the intake over the event files; returns the store."""
-    files = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(files).schema
     # As a pattern the path may be one file or a folder of files.
-    stream = from_events(spark.readStream.schema(schema).parquet(f"{files}*"))
+    files = spark.readStream.schema(RAW_COLUMNS["events"]).parquet(f"{sf_dir}/events.parquet*")
+    stream = from_events(files)
     folder = run_folder(spark, "intake")
     contact.start_intake(stream, f"{folder}/store", f"{folder}/checkpoint", inbox).awaitTermination()
     return f"{folder}/store"

@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes of code; larger stages run faster split.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording the Python line of every column expression makes building plans slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
