@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_KEYS = 1024
 
@@ -68,11 +70,16 @@ def _spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, hot
     return still.join(F.broadcast(hot_right), on, how).unionByName(moved.join(right, on, how))
 
 
-def lookup_few(few: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def lookup_few(few: DataFrame, right: DataFrame, on: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Left join for a ``few`` that a limit already holds to some ten rows.
 
-    The right side is only filtered, never shuffled: it can match at most as many rows.
+    A large right side is only filtered, never shuffled: it can match at most as many rows.
+    The few rows are stored first, because finding them may have read a whole table.
     """
+    if is_small(right, broadcast_bytes):
+        return few.join(F.broadcast(right), on, "left")
+    shared_folder(few.sparkSession)
+    few = few.checkpoint()
     matches = right.join(F.broadcast(few.select(*on).distinct()), on, "left_semi")
     return few.join(F.broadcast(matches), on, "left")
 

@@ -613,7 +613,7 @@ def _taken_in(spark: SparkSession, sf_dir: str, inbox: bool) -> str:
 
 def contact_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _taken_in(spark, sf_dir, inbox=False)
-    return contact.stored_messages(spark, store).drop("batch_id", "outcome")
+    return contact.stored_messages(spark, store).drop("run", "batch", "outcome")
 
 
 def inbox_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,14 +36,17 @@ def build_session(app_name: str = "weftbook", master: str | None = None, **extra
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only a session without ``spark.checkpoint.dir`` (a test on one machine) gets
-    a temporary folder, and that choice is stored so that it is made once.
+    Only a session on one machine without ``spark.checkpoint.dir`` (a test) gets a
+    temporary folder, chosen once.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         folder = tempfile.mkdtemp(prefix="weftbook-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 

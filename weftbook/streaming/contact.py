@@ -1,22 +1,26 @@
 """Intake of contact messages as a stream, and the overview's latest messages.
 
-Each micro-batch writes one folder named after its number and replaces it when the batch
-is run again, so a batch that failed half-way leaves no trace.  Messages that were stored
-by another batch (a source replayed under a new checkpoint) are recognised by id.
+A store has two parts.  ``messages`` holds every message in a folder per run (one
+checkpoint is one run) and micro-batch.  A batch that is run again replaces its own folder,
+so a batch that failed half-way leaves no trace; a message that any other batch has stored,
+also of an earlier run over the same source, is recognised by id and not stored again.
+``inbox`` holds the latest few messages, merged batch by batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dashboard import INBOX
+from ..operators.dashboard import INBOX as INBOX_SIZE
 from ..operators.feeds import newest_first
 from ..operators.intake import check_messages
 
-INBOX_ROW = (
+MESSAGE = (
     T.StructType()
     .add("id", T.LongType())
     .add("name", T.StringType())
@@ -25,30 +29,42 @@ INBOX_ROW = (
     .add("message", T.StringType())
     .add("created_at", T.TimestampNTZType())
 )
-CHECKED = T.StructType([*INBOX_ROW, T.StructField("is_read", T.BooleanType()), T.StructField("reject_reason", T.StringType())])
-STORED = T.StructType([*CHECKED, T.StructField("batch_id", T.LongType()), T.StructField("outcome", T.StringType())])
-_NO_BATCH = -1
+CHECKED = T.StructType([*MESSAGE, T.StructField("is_read", T.BooleanType()), T.StructField("reject_reason", T.StringType())])
+
+
+def _with_folders(schema: T.StructType, *names: str) -> T.StructType:
+    return T.StructType([*schema, *[T.StructField(name, T.StringType()) for name in names]])
 
 
-def _create(spark: SparkSession, path: str, schema: T.StructType, folder: str) -> None:
-    """Make sure the folder exists, so that reading it before the first batch gives no rows."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{folder}")
+STORED = _with_folders(CHECKED, "run", "batch", "outcome")
+BOXES = _with_folders(MESSAGE, "run", "box")
+
+
+def run_name(checkpoint: str) -> str:
+    """A run is known by where it keeps its progress."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:16]
 
 
 def stored_messages(spark: SparkSession, store: str) -> DataFrame:
-    """All messages taken in so far, with batch and outcome."""
+    """All messages taken in so far, with run, batch and outcome."""
     return spark.read.schema(STORED).parquet(f"{store}/messages")
 
 
 def accepted_messages(spark: SparkSession, store: str) -> DataFrame:
-    return stored_messages(spark, store).where(F.col("outcome") == "accepted").drop("reject_reason", "outcome", "batch_id")
+    stored = stored_messages(spark, store).where(F.col("outcome") == "accepted")
+    return stored.select(*MESSAGE.names, "is_read")
 
 
 def rejected_messages(spark: SparkSession, store: str) -> DataFrame:
     return stored_messages(spark, store).where(F.col("outcome") == "rejected")
 
 
-def _unseen(batch: DataFrame, batch_id: int, store: str) -> DataFrame:
+def _elsewhere(run: str, part: str, number: int) -> Column:
+    """Folders other than the one this batch is about to write."""
+    return (F.col("run") != run) | (F.col(part) != str(number))
+
+
+def _unseen(batch: DataFrame, run: str, number: int, store: str) -> DataFrame:
     """Rows whose id no other batch has stored.
 
     Ids rise as messages arrive, so only files that reach into this batch's range of ids
@@ -58,76 +74,80 @@ def _unseen(batch: DataFrame, batch_id: int, store: str) -> DataFrame:
     if low is None:
         return batch
     others = stored_messages(batch.sparkSession, store).where(
-        (F.col("batch_id") != batch_id) & F.col("id").between(low, high)
+        _elsewhere(run, "batch", number) & F.col("id").between(low, high)
     )
     return batch.join(others.select("id"), "id", "left_anti")
 
 
-def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
+def store_batch(batch: DataFrame, number: int, store: str, run: str) -> None:
     """Check, stamp and store one micro-batch; running it twice gives the same rows."""
-    fresh = _unseen(batch.dropDuplicates(["id"]), batch_id, store)
-    checked = check_messages(fresh)
+    checked = check_messages(_unseen(batch.dropDuplicates(["id"]), run, number, store))
     outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
     (
         checked.select(*CHECKED.names, outcome.alias("outcome"))
         .write.mode("overwrite")
         .partitionBy("outcome")
-        .parquet(f"{store}/messages/batch_id={batch_id}")
+        .parquet(f"{store}/messages/run={run}/batch={number}")
     )
 
 
-def latest_messages(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
-    """The stored latest messages, by default of the newest batch."""
-    boxes = spark.read.schema(T.StructType([*INBOX_ROW, T.StructField("batch_id", T.LongType())])).parquet(f"{store}/inbox")
-    return _newest_box(boxes if before is None else boxes.where(F.col("batch_id") < before))
+def _boxes(spark: SparkSession, store: str) -> DataFrame:
+    # A box may be replaced while it is read; the other boxes hold what matters.
+    return spark.read.schema(BOXES).option("ignoreMissingFiles", "true").parquet(f"{store}/inbox")
+
+
+def _latest(messages: DataFrame, n: int) -> DataFrame:
+    return messages.select(*MESSAGE.names).dropDuplicates(["id"]).orderBy(*newest_first("created_at")).limit(n)
 
 
-def _newest_box(boxes: DataFrame) -> DataFrame:
-    newest = boxes.agg(F.max("batch_id")).first()[0]
-    return boxes.where(F.col("batch_id") == (_NO_BATCH if newest is None else newest)).drop("batch_id")
+def latest_messages(spark: SparkSession, store: str, n: int = INBOX_SIZE) -> DataFrame:
+    """The latest accepted messages: at most two small boxes per run are read."""
+    return _latest(_boxes(spark, store), n)
 
 
-def refresh_inbox(batch: DataFrame, batch_id: int, store: str, n: int = INBOX) -> None:
-    """Latest ``n`` of the earlier box and this batch, stored as this batch's box."""
-    spark = batch.sparkSession
-    valid = check_messages(batch.dropDuplicates(["id"])).where(F.col("reject_reason").isNull())
-    order = newest_first("created_at")
-    both = latest_messages(spark, store, before=batch_id).unionByName(valid.select(*INBOX_ROW.names).orderBy(*order).limit(n))
+def refresh_inbox(batch: DataFrame, number: int, store: str, run: str, n: int = INBOX_SIZE) -> None:
+    """Merge the latest ``n`` of this batch into the inbox.
+
+    Two boxes per run take turns: the one of the batch before is read while this one is
+    replaced.  Merging the same messages again changes nothing.
+    """
+    box = number % 2
+    valid = check_messages(batch).where(F.col("reject_reason").isNull())
+    before = _boxes(batch.sparkSession, store).where(_elsewhere(run, "box", box))
     (
-        both.dropDuplicates(["id"])
-        .orderBy(*order)
-        .limit(n)
+        _latest(before.select(*MESSAGE.names).unionByName(_latest(valid, n)), n)
         .coalesce(1)
         .write.mode("overwrite")
-        .parquet(f"{store}/inbox/batch_id={batch_id}")
+        .parquet(f"{store}/inbox/run={run}/box={box}")
     )
 
 
 def open_store(spark: SparkSession, store: str) -> None:
-    """Lay out an empty store; leaves a filled one as it is."""
-    _create(spark, f"{store}/messages", CHECKED, f"batch_id={_NO_BATCH}/outcome=none")
-    _create(spark, f"{store}/inbox", INBOX_ROW, f"batch_id={_NO_BATCH}")
+    """Lay out empty folders, so that reading before the first batch gives no rows."""
+    for folder, schema in (("messages/run=none/batch=none/outcome=none", CHECKED), ("inbox/run=none/box=none", MESSAGE)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/{folder}")
 
 
 def start_intake(messages: DataFrame, store: str, checkpoint: str, inbox: bool = True) -> StreamingQuery:
-    """Take in a stream of messages until its present end.
+    """Take in a stream of messages up to its present end.
 
     ``messages`` is a streaming frame with id, name, email, subject, message and
-    created_at (the moment of arrival, where the source does not carry it).
+    created_at; ``arrival_stamp`` adds the last where a source lacks it.
     """
+    run = run_name(checkpoint)
     open_store(messages.sparkSession, store)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            store_batch(batch, batch_id, store)
+            store_batch(batch, number, store, run)
             if inbox:
-                refresh_inbox(batch, batch_id, store)
+                refresh_inbox(batch, number, store, run)
         finally:
             batch.unpersist()
 
     return (
-        messages.writeStream.foreachBatch(run)
+        messages.writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
