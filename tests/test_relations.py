@@ -100,6 +100,13 @@ def test_pages_of_a_feed(spark):
     assert page("4") == []
 
 
+def test_deep_pages_are_the_same_pages(spark):
+    order, items = [F.desc("id")], spark.range(35).repartition(4)
+    for p in (1, 3, 4, 9):
+        near = [r.id for r in paging.page_of(items, order, p).collect()]
+        assert sorted(r.id for r in paging.page_of(items, order, p, deep=0).collect()) == sorted(near)
+
+
 def test_page_counts(spark):
     frames = {n: spark.range(n).withColumn("status", F.lit("published")) for n in (0, 10, 21)}
     found = {r.feed: (r.total, r.pages) for r in paging.page_counts({str(n): df for n, df in frames.items()}).collect()}

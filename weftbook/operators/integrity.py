@@ -85,12 +85,23 @@ def too_long(df: DataFrame, table: str, limits: dict[str, int]) -> DataFrame:
 
 
 def outside_domain(df: DataFrame, table: str, domains: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Values outside their list, with the number of rows that hold them."""
-    parts = [
-        df.where(~F.col(c).isin(*values)).groupBy(c).count().select(*_report(table, "domain", c, F.col(c), F.col("count")))
-        for c, values in domains.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Values outside their list, with the number of rows that hold them: one pass."""
+    checks = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.col(c).cast("string").alias("key"),
+                F.coalesce(~F.col(c).isin(*values), F.lit(False)).alias("outside"),
+            )
+            for c, values in domains.items()
+        ]
+    )
+    return (
+        df.select(F.inline(F.filter(checks, lambda x: x["outside"])))
+        .groupBy("column_name", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(table).alias("table_name"), F.lit("domain").alias("rule"), "column_name", "key", "n")
+    )
 
 
 def check_tables(tables: dict[str, DataFrame], rules: dict) -> DataFrame:

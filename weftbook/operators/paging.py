@@ -9,6 +9,7 @@ from ..session import shared_folder
 from .feeds import published
 
 PER_PAGE = 10
+DEEP_ROWS = 10_000
 
 
 def page_number(text: str | int | None) -> int:
@@ -19,9 +20,22 @@ def page_number(text: str | int | None) -> int:
         return 1
 
 
-def page_of(items: DataFrame, order: list[Column], page: str | int | None = 1, per_page: int = PER_PAGE) -> DataFrame:
-    """One page; a page past the end is empty."""
-    skip = (page_number(page) - 1) * per_page
+def page_of(
+    items: DataFrame,
+    order: list[Column],
+    page: str | int | None = 1,
+    per_page: int = PER_PAGE,
+    deep: int = DEEP_ROWS,
+) -> DataFrame:
+    """One page; a page past the end is empty.
+
+    A page near the front is a top-k, which brings all rows up to the page into one task.
+    Behind ``deep`` rows the pages are numbered side by side instead.
+    """
+    number = page_number(page)
+    skip = (number - 1) * per_page
+    if skip + per_page > deep:
+        return all_pages(items, order, per_page).where(F.col("page_no") == number).select(*items.columns)
     return items.orderBy(*order).offset(skip).limit(per_page)
 
 

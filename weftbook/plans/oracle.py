@@ -245,6 +245,7 @@ _add(
     """SELECT c.id, c.name, c.slug, c.description, c.logo, k.name AS category, c.website, c.email, c.phone, c.address
 FROM companies c LEFT JOIN company_categories k ON k.id = c.category_id WHERE c.status = 'published'""",
 )
+ORACLE["feed_json_files"] = ORACLE["feed_companies"]
 _add(
     "feed_services",
     """SELECT s.id, s.name, s.slug, s.description, c.name AS provider
@@ -584,8 +585,7 @@ _add(
 _INBOX = "FROM checked_messages WHERE reject_reason IS NULL ORDER BY created_at DESC NULLS FIRST, id LIMIT 5"
 _add("inbox_latest5", f"SELECT id, strftime(created_at, '%d-%m-%Y %H:%M') AS received, name, email, subject, message {_INBOX}")
 
-_add(
-    "sitemap",
+_SITEMAP = (
     """SELECT 'https://example.org' || path AS loc, changefreq, priority FROM (VALUES ('/', 'daily', '1.0'),
   ('/news', 'daily', '0.9'), ('/knowledge', 'weekly', '0.8'), ('/jobs', 'daily', '0.8'), ('/companies', 'weekly', '0.7'),
   ('/services', 'weekly', '0.6'), ('/tools', 'monthly', '0.9'), ('/ai-studio', 'monthly', '0.7'))
@@ -602,7 +602,14 @@ _add(
             ("knowledge_categories", "knowledge/category", "", "weekly", "0.6"),
             ("tool_categories", "tools/category", "", "weekly", "0.7"),
         )
-    ),
+    )
+)
+_add("sitemap", _SITEMAP)
+
+_add(
+    "sitemap_export",
+    "SELECT loc, CAST(NULL AS VARCHAR) AS lastmod, changefreq, priority FROM addresses",
+    {"addresses": _SITEMAP},
 )
 
 

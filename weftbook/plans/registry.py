@@ -26,7 +26,7 @@ from ..operators import (
 )
 from ..schemas import JOB_TYPES, LISTING_STATUSES, TABLES
 from ..session import run_folder
-from ..sources.exports import json_record
+from ..sources.exports import json_record, read_sitemap, write_feed, write_sitemap
 from ..sources.testviews import RAW_COLUMNS, Catalogue, from_events
 from ..streaming import contact
 
@@ -83,6 +83,23 @@ def feed_json_export(cat):
     return feed.select("id", json_record(feed).alias("record"))
 
 
+@query("feed_json_files")
+def feed_json_files(cat):
+    """A feed written as files of JSON lines and read back."""
+    feed = feeds.company_feed(cat.companies, cat.company_categories)
+    path = run_folder(cat.spark, "feed")
+    write_feed(feed, path)
+    return cat.spark.read.schema(feed.schema).json(path)
+
+
+@query("sitemap_export")
+def sitemap_export(cat):
+    """The site map written as XML files and read back."""
+    path = run_folder(cat.spark, "sitemap")
+    write_sitemap(sitemap.sitemap(cat, BASE), path)
+    return read_sitemap(cat.spark, path)
+
+
 @query("seed_insert_if_absent")
 def seed_insert_if_absent(cat):
     """Suppliers and customers entered as users where customers already are."""

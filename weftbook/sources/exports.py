@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the site map protocol.
@@ -36,3 +36,9 @@ def write_sitemap(urls: DataFrame, path: str, per_file: int = URLS_PER_FILE) ->
         .option("maxRecordsPerFile", per_file)
         .save(path)
     )
+
+
+def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
+    """The addresses of site map files."""
+    columns = "loc string, lastmod string, changefreq string, priority string"
+    return spark.read.format("xml").option("rowTag", "url").schema(columns).load(path)

@@ -335,6 +335,19 @@ VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+# Inputs that are not tables of the catalogue.
+INPUTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "questions": questions,
+    "styles": styles,
+    "article_creates": article_creates,
+    "article_edits": article_edits,
+    "article_deletes": article_deletes,
+    "closed_companies": closed_companies,
+    "closed_users": closed_users,
+    "closed_categories": closed_categories,
+}
+
+
 class Catalogue:
     """The views of one data folder, opened on first use: ``Catalogue(spark, dir).jobs``."""
 
@@ -342,8 +355,8 @@ class Catalogue:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        view = VIEWS.get(name) or globals().get(name)
-        if name.startswith("_") or view is None:
+        view = VIEWS.get(name) or INPUTS.get(name)
+        if view is None:
             raise AttributeError(name)
         frame = view(self.spark, self.sf_dir)
         setattr(self, name, frame)
