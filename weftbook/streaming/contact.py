@@ -125,7 +125,8 @@ def refresh_inbox(batch: DataFrame, number: int, store: str, run: str, n: int =
 def open_store(spark: SparkSession, store: str) -> None:
     """Lay out empty folders, so that reading before the first batch gives no rows."""
     for folder, schema in (("messages/run=none/batch=none/outcome=none", CHECKED), ("inbox/run=none/box=none", MESSAGE)):
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/{folder}")
+        none = spark.range(0, 0, 1, 1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+        none.write.mode("ignore").parquet(f"{store}/{folder}")
 
 
 def start_intake(messages: DataFrame, store: str, checkpoint: str, inbox: bool = True) -> StreamingQuery:
