@@ -100,6 +100,24 @@ def delete_outcomes(base: DataFrame, deletes: DataFrame) -> DataFrame:
     )
 
 
+def apply_changes(
+    base: DataFrame,
+    changes: DataFrame,
+    fields: list[str],
+    default_status: str = ARTICLE_DEFAULT,
+    title: str = "title",
+) -> DataFrame:
+    """A batch of change rows, told apart by ``op``: create, edit or delete.
+
+    Ids are never given twice, so a row is created before it is edited and edited before it
+    is deleted: applying all creates, then all edits, then all deletes gives what the rows
+    give one by one.
+    """
+    of = {op: changes.where(F.col("op") == op) for op in ("create", "edit", "delete")}
+    grown = apply_creates(base, of["create"], default_status, title)
+    return apply_deletes(apply_edits(grown, of["edit"], fields, default_status, title), of["delete"])
+
+
 def remove_children(children: DataFrame, key: str, deleted: DataFrame, **options) -> DataFrame:
     """Delete the rows that belong to a deleted parent (on delete cascade)."""
     gone = deleted.select(F.col("id").alias(key)).distinct()

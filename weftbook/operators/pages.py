@@ -138,6 +138,44 @@ def article_pages(kind: str, articles: DataFrame, categories: DataFrame, users:
     )
 
 
+def job_pages(jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """Each published job's own page."""
+    return jobs_with_company(published(jobs), companies).select(
+        "id",
+        shown("job_type").alias("tag"),
+        "title",
+        "company",
+        link("", "companies", F.col("company_slug")).alias("company_link"),
+        "location",
+        either(F.col("salary_range"), NO_SALARY).alias("salary"),
+        date_text(F.col("created_at"), LONG_DATE).alias("posted"),
+        line_breaks(F.col("description")).alias("body"),
+    )
+
+
+def company_pages(companies: DataFrame, categories: DataFrame) -> DataFrame:
+    """Each published company's own page; contact lines without a value are left out (NULL)."""
+    contacts = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("website", "email", "phone")]
+    return with_category(published(companies), categories).select(
+        "id",
+        F.coalesce("category", F.lit(DETAIL_TAGS["companies"])).alias("tag"),
+        "name",
+        *contacts,
+        line_breaks(F.col("description")).alias("body"),
+    )
+
+
+def service_pages(services: DataFrame, companies: DataFrame) -> DataFrame:
+    """Each published service's own page."""
+    return services_with_provider(published(services), companies).select(
+        "id",
+        "name",
+        "provider",
+        link("", "companies", F.col("provider_slug")).alias("provider_link"),
+        line_breaks(F.col("description")).alias("body"),
+    )
+
+
 def all_cards(cat) -> DataFrame:
     """Cards of the six list pages over all published items."""
     drop = ("published_at", "created_at")

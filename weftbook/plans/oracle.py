@@ -327,6 +327,25 @@ WHERE a.status = 'published'"""
         )
     ),
 )
+_add(
+    "job_pages",
+    """SELECT j.id, coalesce(j.job_type, 'None') AS tag, j.title, c.name AS company, '/companies/' || c.slug AS company_link,
+  j.location, coalesce(nullif(j.salary_range, ''), 'Negotiable') AS salary, strftime(j.created_at, '%d %B %Y') AS posted,
+  replace(j.description, chr(10), '<br>') AS body
+FROM jobs j LEFT JOIN companies c ON c.id = j.company_id WHERE j.status = 'published'""",
+)
+_add(
+    "company_pages",
+    """SELECT c.id, coalesce(k.name, 'Company') AS tag, c.name, nullif(c.website, '') AS website, nullif(c.email, '') AS email,
+  nullif(c.phone, '') AS phone, replace(c.description, chr(10), '<br>') AS body
+FROM companies c LEFT JOIN company_categories k ON k.id = c.category_id WHERE c.status = 'published'""",
+)
+_add(
+    "service_pages",
+    """SELECT s.id, s.name, c.name AS provider, '/companies/' || c.slug AS provider_link,
+  replace(s.description, chr(10), '<br>') AS body
+FROM services s LEFT JOIN companies c ON c.id = s.provider_id WHERE s.status = 'published'""",
+)
 _add(
     "localised_columns",
     """SELECT id, name, description, CAST(NULL AS VARCHAR) AS name_ta, CAST(NULL AS VARCHAR) AS name_ta_en,
@@ -647,21 +666,16 @@ def _slug(x: str) -> str:
     return f"lower(trim({kept}, '._'))"
 
 
-_add(
-    "apply_creates",
-    f"""SELECT id, title, slug, summary, content, category_id, author_id, status, published_at, created_at, updated_at
-FROM news_articles
-UNION ALL SELECT item_id + 100000000000, title, {_slug("coalesce(nullif(given, ''), replace(lower(title), ' ', '-'))")},
-  summary, text, CASE WHEN item_id % 4 = 0 THEN NULL ELSE item_id % 5 END, item_id % 120, coalesce(asked, 'draft'),
-  CASE WHEN asked = 'published' THEN moment END, moment, moment
+_CREATED = f"""SELECT item_id + 100000000000 AS id, title,
+  {_slug("coalesce(nullif(given, ''), replace(lower(title), ' ', '-'))")} AS slug, summary, text AS content,
+  CASE WHEN item_id % 4 = 0 THEN NULL ELSE item_id % 5 END AS category_id, item_id % 120 AS author_id,
+  coalesce(asked, 'draft') AS status, CASE WHEN asked = 'published' THEN moment END AS published_at,
+  moment AS created_at, moment AS updated_at
 FROM (SELECT *, substring(text, 1, 60) AS title, substring(text, 1, 200) AS summary,
     CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Item ', item_id, '/New') END AS given,
     CASE item_id % 3 WHEN 0 THEN 'published' WHEN 1 THEN NULL ELSE 'review' END AS asked,
-    {_minutes('item_id % 1000003')} AS moment FROM benchmark)""",
-)
-_add(
-    "apply_edits",
-    f"""SELECT a.id, CASE WHEN l.doc_id IS NULL THEN a.title ELSE concat('Final ', l.doc_id) END AS title,
+    {_minutes('item_id % 1000003')} AS moment FROM benchmark)"""
+_EDITED = f"""SELECT a.id, CASE WHEN l.doc_id IS NULL THEN a.title ELSE concat('Final ', l.doc_id) END AS title,
   CASE WHEN l.doc_id IS NULL THEN a.slug WHEN l.toxic = 1 THEN concat('final-', l.doc_id)
     ELSE lower(replace(concat('Doc ', l.doc_id), ' ', '_')) END AS slug,
   CASE WHEN l.doc_id IS NULL THEN a.summary WHEN l.toxic = 1 THEN NULL ELSE 'final' END AS summary,
@@ -675,7 +689,16 @@ _add(
   CASE WHEN l.doc_id IS NULL THEN a.updated_at ELSE {_minutes('300000 + l.doc_id % 1000003')} END AS updated_at,
   CASE WHEN l.doc_id IS NULL THEN a.featured_image END AS featured_image,
   CASE WHEN l.doc_id IS NULL THEN a.seo_title END AS seo_title
-FROM news_articles a LEFT JOIN labels l ON l.doc_id = a.id""",
+FROM news_articles a LEFT JOIN labels l ON l.doc_id = a.id"""
+_ARTICLE_STATE = (
+    "id, title, slug, summary, content, category_id, author_id, status, published_at, created_at, updated_at"
+)
+_add("apply_creates", f"SELECT {_ARTICLE_STATE} FROM news_articles UNION ALL {_CREATED}")
+_add("apply_edits", _EDITED)
+_add(
+    "apply_changes",
+    f"SELECT {_ARTICLE_STATE} FROM (SELECT {_ARTICLE_STATE} FROM ({_EDITED}) UNION ALL {_CREATED})"
+    " WHERE id NOT IN (SELECT vec_id FROM embeddings)",
 )
 _add("apply_deletes", "SELECT id, slug, status FROM news_articles WHERE id NOT IN (SELECT vec_id FROM embeddings)")
 _add(

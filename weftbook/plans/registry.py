@@ -177,6 +177,21 @@ def article_pages(cat):
     )
 
 
+@query("job_pages")
+def job_pages(cat):
+    return pages.job_pages(cat.jobs, cat.companies)
+
+
+@query("company_pages")
+def company_pages(cat):
+    return pages.company_pages(cat.companies, cat.company_categories)
+
+
+@query("service_pages")
+def service_pages(cat):
+    return pages.service_pages(cat.services, cat.companies)
+
+
 @query("localised_columns")
 def localised_columns(cat):
     """Tools stored with and without translation columns, merged, with the text to show."""
@@ -468,6 +483,17 @@ def apply_deletes(cat):
     return changes.apply_deletes(cat.news_articles, cat.article_deletes).select("id", "slug", "status")
 
 
+@query("apply_changes")
+def apply_changes(cat):
+    """Creates, edits and deletes of articles in one batch."""
+    parts = {"create": cat.article_creates, "edit": cat.article_edits, "delete": cat.article_deletes}
+    batch = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [df.withColumn("op", F.lit(op)) for op, df in parts.items()],
+    )
+    return changes.apply_changes(cat.news_articles, batch, ARTICLE_FIELDS).select(*_STATE)
+
+
 @query("delete_outcomes")
 def delete_outcomes(cat):
     return changes.delete_outcomes(cat.knowledge_articles, cat.article_deletes)

@@ -1,7 +1,8 @@
 """The driver's test tables seen as the tables of the catalogue.
 
 Every view takes a whole table.  Dates come from ids, never from the clock; NULLs,
-empty texts, every status and published rows without a date occur on purpose.
+empty texts, every status and published rows without a date occur on purpose.  The test tables
+have no titles and summaries, so these are made from the text; ``content`` is the whole text.
 """
 
 from __future__ import annotations
