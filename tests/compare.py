@@ -35,7 +35,7 @@ def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(value + 0.0)
+        return "nan" if math.isnan(value) else repr(value)
     return repr(value)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftbook.operators import feeds, paging, relations
-from weftbook.operators.lookup import estimated_bytes, lookup_few, lookup_join
+from weftbook.operators.lookup import estimated_bytes, lookup_few, lookup_join, present_keys, unique_join
 
 
 def skewed(spark, rows=600):
@@ -50,6 +50,15 @@ def test_lookup_few_in_both_ways(spark):
     assert small == large and len(small) == 8
 
 
+@pytest.mark.parametrize("limit", [0, 10**30])
+def test_unique_joins_in_both_ways(spark, limit):
+    left, right = spark.range(20), spark.range(10, 30)
+    for how, size in (("left", 20), ("inner", 10), ("left_anti", 10)):
+        assert unique_join(left, right, ["id"], how, broadcast_bytes=limit).count() == size
+    table = spark.range(100).selectExpr("id % 15 AS id")
+    assert sorted(r.id for r in present_keys(right, table, "id", broadcast_bytes=limit).collect()) == [10, 11, 12, 13, 14]
+
+
 def related_by_hand(data, n=3):
     out = set()
     for i, group in data:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.slugs import slug_of
 from ..functions.text import either
 from ..schemas import PUBLISHED, TRANSLATED, TRANSLATION_SUFFIXES
-from .lookup import lookup_join
+from .lookup import lookup_join, present_keys, unique_join
 
 ARTICLE_DEFAULT, LISTING_DEFAULT = "draft", "published"
 
@@ -43,18 +43,19 @@ def apply_creates(
     return base.unionByName(rows, allowMissingColumns=True)
 
 
-def _folded(edits: DataFrame, fields: list[str]) -> DataFrame:
+def _folded(edits: DataFrame, fields: list[str], default_status: str) -> DataFrame:
     """All edits of one id as one row: last values, last moment, first publishing moment.
 
     The last row per id is an aggregate, so an id edited very often is cut down before
     the shuffle.
     """
     last = F.max_by(F.struct(*fields), F.struct("changed_at", "change_id"))
+    publishes = F.coalesce("status", F.lit(default_status)) == PUBLISHED
     return edits.groupBy("id").agg(
-        last.alias("__new"),
+        last.alias("__last"),
         F.max("changed_at").alias("__edited_at"),
-        F.min(F.when(F.col("status") == PUBLISHED, F.col("changed_at"))).alias("__published_at"),
-    )
+        F.min(F.when(publishes, F.col("changed_at"))).alias("__published_at"),
+    ).select("id", "__last.*", "__edited_at", "__published_at")
 
 
 def apply_edits(
@@ -69,9 +70,9 @@ def apply_edits(
     ``published_at`` is set once, by the first edit that leaves an undated row published, and
     never cleared.  Edits of unknown ids change nothing.
     """
-    entered = _entered(edits, default_status, title)
-    present = [c for c in fields if c in entered.columns]
-    folded = _folded(entered, present)
+    present = [c for c in fields if c in edits.columns]
+    entered = _entered(_folded(edits, present, default_status), default_status, title)
+    folded = entered.select("id", "__edited_at", "__published_at", F.struct(*present).alias("__new"))
     edited = F.col("__new").isNotNull()
 
     def value(name: str) -> Column:
@@ -85,19 +86,18 @@ def apply_edits(
             return F.coalesce(F.col("__edited_at"), F.col(name))
         return F.col(name)
 
-    return base.join(folded, "id", "left").select(*[value(c).alias(c) for c in base.columns])
+    return unique_join(base, folded, ["id"]).select(*[value(c).alias(c) for c in base.columns])
 
 
 def apply_deletes(base: DataFrame, deletes: DataFrame) -> DataFrame:
-    return base.join(deletes.select("id").distinct(), "id", "left_anti").select(*base.columns)
+    return unique_join(base, deletes.select("id").distinct(), ["id"], "left_anti").select(*base.columns)
 
 
 def delete_outcomes(base: DataFrame, deletes: DataFrame) -> DataFrame:
     """Each requested id once, and whether there was such a row."""
-    known = base.select("id", F.lit(True).alias("__known"))
-    return (
-        deletes.select("id").distinct().join(known, "id", "left").select("id", F.col("__known").isNotNull().alias("found"))
-    )
+    asked = deletes.select("id").distinct()
+    known = present_keys(asked, base, "id").withColumn("__known", F.lit(True))
+    return unique_join(asked, known, ["id"]).select("id", F.col("__known").isNotNull().alias("found"))
 
 
 def apply_changes(
@@ -162,7 +162,7 @@ def insert_absent(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     Of new rows with the same key the one with the lowest id counts.
     """
     first = new.groupBy(key).agg(F.min_by(F.struct(*new.columns), F.col("id")).alias("row")).select("row.*")
-    fresh = first.join(base.select(key), key, "left_anti")
+    fresh = unique_join(first, present_keys(first, base, key), [key], "left_anti")
     return base.unionByName(fresh.select(*new.columns), allowMissingColumns=True)
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import lookup_join
+from .lookup import unique_join
 
 
 def _report(table: str, rule: str, column: str, key: Column, n: Column) -> list[Column]:
@@ -60,7 +60,7 @@ def orphans(children: DataFrame, table: str, key: str, parents: DataFrame, **opt
     """
     used = children.where(F.col(key).isNotNull()).groupBy(key).count()
     known = parents.select(F.col("id").alias(key))
-    lost = lookup_join(used, known, [key], "left_anti", **options)
+    lost = unique_join(used, known, [key], "left_anti", **options)
     return lost.select(*_report(table, "foreign key", key, F.col(key), F.col("count")))
 
 

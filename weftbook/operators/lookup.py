@@ -84,6 +84,26 @@ def lookup_few(few: DataFrame, right: DataFrame, on: list[str], broadcast_bytes:
     return few.join(F.broadcast(matches), on, "left")
 
 
+def unique_join(
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Join where the key is unique on both sides, so that no key can be hot.
+
+    A small right side (say, a batch of changes) leaves the large left side where it is.
+    """
+    return left.join(F.broadcast(right) if is_small(right, broadcast_bytes) else right, on, how)
+
+
+def present_keys(keys: DataFrame, table: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Those of the unique ``keys`` that occur in a table.
+
+    For a small number of keys the table is only filtered.
+    """
+    if is_small(keys, broadcast_bytes):
+        return table.select(key).join(F.broadcast(keys.select(key)), key, "left_semi").distinct()
+    return keys.select(key).join(table.select(key).distinct(), key, "left_semi")
+
+
 def child_counts(children: DataFrame, key: str, name: str = "n") -> DataFrame:
     """Rows per non-null key; partial sums before the shuffle keep hot keys cheap."""
     return children.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
