@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftbook.operators import feeds, paging, relations
-from weftbook.operators.lookup import estimated_bytes, lookup_few, lookup_join, present_keys, unique_join
+from weftbook.operators.lookup import estimated_bytes, is_small, lookup_few, lookup_join, present_keys, unique_join
 
 
 def skewed(spark, rows=600):
@@ -42,6 +42,16 @@ def test_size_is_checked_before_broadcast(spark, cat):
     assert "limit=1024" not in feeds.jobs_with_company(cat.jobs, cat.companies)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_session_decides_what_is_small(spark, cat):
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert is_small(cat.companies)
+    try:
+        spark.conf.set(key, "-1")
+        assert not is_small(cat.companies)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_lookup_few_in_both_ways(spark):
     _, left, right = skewed(spark)
     few = left.orderBy("id").limit(8)

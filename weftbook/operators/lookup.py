@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
-BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_KEYS = 1024
 
 _HOT = "__hot"
@@ -31,7 +30,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether a frame may be broadcast: by ``limit`` bytes, or else by the session's own
+    ``spark.sql.autoBroadcastJoinThreshold`` (-1 there means never)."""
+    if limit is None:
+        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return estimated_bytes(df) <= limit
 
 
@@ -40,7 +43,7 @@ def lookup_join(
     right: DataFrame,
     on: list[str],
     how: str = "left",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Join ``left`` with ``right``, whose ``on`` columns are unique.
@@ -70,7 +73,7 @@ def _spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, hot
     return still.join(F.broadcast(hot_right), on, how).unionByName(moved.join(right, on, how))
 
 
-def lookup_few(few: DataFrame, right: DataFrame, on: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def lookup_few(few: DataFrame, right: DataFrame, on: list[str], broadcast_bytes: int | None = None) -> DataFrame:
     """Left join for a ``few`` that a limit already holds to some ten rows.
 
     A large right side is only filtered, never shuffled: it can match at most as many rows.
@@ -85,7 +88,7 @@ def lookup_few(few: DataFrame, right: DataFrame, on: list[str], broadcast_bytes:
 
 
 def unique_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", broadcast_bytes: int = BROADCAST_BYTES
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Join where the key is unique on both sides, so that no key can be hot.
 
@@ -94,7 +97,7 @@ def unique_join(
     return left.join(F.broadcast(right) if is_small(right, broadcast_bytes) else right, on, how)
 
 
-def present_keys(keys: DataFrame, table: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def present_keys(keys: DataFrame, table: DataFrame, key: str, broadcast_bytes: int | None = None) -> DataFrame:
     """Those of the unique ``keys`` that occur in a table.
 
     For a small number of keys the table is only filtered.
