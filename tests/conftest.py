@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -20,6 +21,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='weftbook-tests-')}",
             "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -3,7 +3,9 @@
 import pytest
 from compare import database, differences
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from weftbook.plans.oracle import ORACLE
+from weftbook.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,13 +13,13 @@ def con(sf_dir):
     return database(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(name, spark, sf_dir, con):
-    assert differences(queries()[name](spark, sf_dir), con, oracle_sql()[name]) == []
+    assert differences(QUERIES[name](spark, sf_dir), con, ORACLE[name]) == []
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark, sf_dir):

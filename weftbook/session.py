@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,17 +33,11 @@ def build_session(app_name: str = "weftbook", master: str | None = None, **extra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
-
-    Only a session on one machine without ``spark.checkpoint.dir`` (a test) gets a
-    temporary folder, chosen once.
-    """
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or else a folder inside the warehouse."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="weftbook-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/weftbook-work"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
