@@ -33,11 +33,10 @@ def lookup_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     where they are; only the rest is shuffled.  Both inputs are read twice and should be stored or cheap.
     """
     least = max(total // HOT_KEYS, 1000)
-    hot = F.broadcast(groups.filter(F.col(size) >= least).select(*keys))
-    on = [rows[k].eqNullSafe(hot[k]) for k in keys]
-    hot_full = F.broadcast(groups.filter(F.col(size) >= least))
-    popular = rows.join(hot_full, keys)
-    rest = rows.join(hot, on, "left_anti").join(groups.filter(F.col(size) < least), keys, "left")
+    hot = groups.filter(F.col(size) >= least)
+    popular = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    rest = rest.join(groups.filter(F.col(size) < least), keys, "left")
     return popular.unionByName(rest)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftbook.llm import packing
+from weftbook.llm import exact_dedup, licences, near_dedup, packing, sharding, topk, warc
 from weftbook.llm.common import table
 
 
@@ -14,8 +14,69 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.archive_pages(table(spark, sf_dir, "pages")))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op8_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k_every(table(spark, sf_dir, "embeddings"))
+
+
+def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op4_trie_dedup": op4_trie_dedup,
+    "op6_warc_salvage": op6_warc_salvage,
+    "op7_licence_scan": op7_licence_scan,
+    "op8_segment_search": op8_segment_search,
+    "op9_odd_sketches": op9_odd_sketches,
+    "op10_differencing_shards": op10_differencing_shards,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_trie_dedup": r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare
+  FROM documents
+)
+SELECT doc_id,
+  first_value(doc_id) OVER (PARTITION BY bare ORDER BY chars DESC, doc_id) AS keep_id,
+  count(*) OVER (PARTITION BY bare) AS group_size,
+  doc_id = first_value(doc_id) OVER (PARTITION BY bare ORDER BY chars DESC, doc_id) AS kept,
+  sha256(bare) AS text_sha256
+FROM d""",
+    "op6_warc_salvage": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+s AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS answer FROM s)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN answer = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN answer <> page_id THEN answer END AS refers_to
+FROM m""",
+    "op7_licence_scan": licences.oracle(),
+    "op8_segment_search": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+}
