@@ -5,19 +5,43 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftbook.llm import exact_dedup, licences, near_dedup, packing, sharding, topk, warc
+from weftbook.llm import (
+    exact_dedup,
+    html_wrappers,
+    licences,
+    near_dedup,
+    packing,
+    quality,
+    sentence_pieces,
+    sharding,
+    topk,
+    warc,
+)
 from weftbook.llm.common import table
 
 
+def op1_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentence_pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.piece_digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.archive_pages(table(spark, sf_dir, "pages")))
 
@@ -39,8 +63,11 @@ def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_pieces": op1_suffix_pieces,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op3_host_wrappers": op3_host_wrappers,
     "op4_trie_dedup": op4_trie_dedup,
+    "op5_positive_unlabelled": op5_positive_unlabelled,
     "op6_warc_salvage": op6_warc_salvage,
     "op7_licence_scan": op7_licence_scan,
     "op8_segment_search": op8_segment_search,
