@@ -31,6 +31,15 @@ def by_id(df):
     return {r.id: r for r in df.collect()}
 
 
+def test_rows_without_a_key_are_not_inserted(spark):
+    base = spark.createDataFrame([(1, "a")], "id bigint, k string")
+    new = spark.createDataFrame([(2, None), (3, None), (4, "b"), (5, "a")], "id bigint, k string")
+    once = changes.insert_absent(base, new, "k")
+    assert sorted(r.id for r in once.collect()) == [1, 4]
+    assert sorted(r.id for r in changes.insert_absent(once, new, "k").collect()) == [1, 4]
+    assert sorted(r.id for r in changes.without_key(new, "k").collect()) == [2, 3]
+
+
 def test_first_publishing_edit_sets_the_date(spark, base):
     edits = spark.createDataFrame(
         [

@@ -112,7 +112,7 @@ def test_image_refusal_and_label(spark):
     rows = [(5242880, "image/png"), (5242881, "image/png"), (5242881, None), (10, None), (256, "image/webp")]
     found = values(
         spark, rows, "n bigint, m string",
-        images.refusal(F.col("n"), F.col("m")), images.size_label(F.col("n"), F.col("m")), images.extension(F.col("m")),
+        images.refusal(F.col("n"), F.col("m"), F.lit("f")), images.size_label(F.col("n"), F.col("m")), images.extension(F.col("m")),
     )
     assert [f[0] for f in found] == [None, images.TOO_LARGE, images.TOO_LARGE, images.BAD_FORMAT, None]
     assert found[0][1] == "Size: 5120.0 KB | Type: PNG"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftbook.operators import feeds, paging, relations
-from weftbook.operators.lookup import estimated_bytes, is_small, lookup_few, lookup_join, present_keys, unique_join
+from weftbook.operators.lookup import lookup_few, lookup_join, present_keys, unique_join
 
 
 def skewed(spark, rows=600):
@@ -19,37 +19,56 @@ def skewed(spark, rows=600):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-@pytest.mark.parametrize("hot_keys", [1, 2, 1000])
-def test_spread_join_gives_the_plain_rows(spark, how, hot_keys):
-    _, left, right = skewed(spark)
-    plain = left.join(right, "k", how)
-    spread = lookup_join(left, right, ["k"], how, broadcast_bytes=0, hot_keys=hot_keys)
-    assert sorted(map(str, spread.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
-
-
-def test_spread_join_on_two_keys(spark):
+@pytest.mark.parametrize("limit", [None, 0])
+def test_lookup_with_hot_and_missing_keys(spark, how, limit):
+    data, left, right = skewed(spark)
+    names = {k: f"name {k}" for k in range(1, 8)}
+    found = lookup_join(left, right, ["k"], how, broadcast_bytes=limit).collect()
+    wanted = {
+        "left": {(i, names.get(k)) for i, k in data},
+        "inner": {(i, names[k]) for i, k in data if k in names},
+        "left_semi": {(i, None) for i, k in data if k in names},
+        "left_anti": {(i, None) for i, k in data if k not in names},
+    }[how]
+    assert {(r.id, r.name if "name" in r else None) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_lookup_on_two_keys(spark):
     _, left, right = skewed(spark)
     left, right = left.withColumn("b", F.col("id") % 2), right.withColumn("b", F.lit(1).cast("bigint"))
-    spread = lookup_join(left, right, ["k", "b"], "left", broadcast_bytes=0, hot_keys=2)
+    large = lookup_join(left, right, ["k", "b"], "left", broadcast_bytes=0)
     plain = left.join(right, ["k", "b"], "left")
-    assert sorted(map(str, spread.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert sorted(map(str, large.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
-def test_size_is_checked_before_broadcast(spark, cat):
-    assert estimated_bytes(cat.companies) > 0
-    plan = feeds.jobs_with_company(cat.jobs, cat.companies, broadcast_bytes=0)
-    assert "TakeOrderedAndProject(limit=1024" in plan._jdf.queryExecution().executedPlan().toString()
-    assert "limit=1024" not in feeds.jobs_with_company(cat.jobs, cat.companies)._jdf.queryExecution().executedPlan().toString()
+def test_a_large_lookup_reads_each_side_once(cat):
+    plan = feeds.jobs_with_company(cat.jobs, cat.companies, broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") == 1 and plan.count("customer.parquet") == 1 and "SortMergeJoin" in plan
+    tagged = relations.article_tags(cat.news_articles, cat.news_tags, "news_id", cat.tags)
+    assert tagged._jdf.queryExecution().executedPlan().toString().count("documents.parquet") <= 4
 
 
-def test_the_session_decides_what_is_small(spark, cat):
-    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    assert is_small(cat.companies)
+def test_skewed_partitions_are_split(spark):
+    """A third of the rows without a key, a third with one: the final plan reads the left side in several parts."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        spark.conf.set(key, "-1")
-        assert not is_small(cat.companies)
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        left = spark.range(0, 60000, 1, 8).selectExpr("id", "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE id END AS k")
+        right = spark.range(1, 60000).selectExpr("id AS k", "concat('n', id) AS name")
+        joined = lookup_join(left, right, ["k"], broadcast_bytes=0)
+        assert joined.where("name IS NULL").count() == 20000
+        joined.write.format("noop").mode("overwrite").save()
+        whole = lookup_join(left, right, ["k"], broadcast_bytes=0)
+        whole.collect()
+        assert "skew" in whole._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def test_lookup_few_in_both_ways(spark):
@@ -171,3 +190,16 @@ def test_slug_lookup_tells_what_is_missing(spark):
     for limit in (0, 10**6):
         found = sorted((r.slug, r.found) for r in feeds.find_by_slug(asked, items, broadcast_bytes=limit).collect())
         assert found == [("a", True), ("a", True), ("b", False), ("c", False)]
+
+
+def test_pages_and_feeds_come_in_order(spark, cat):
+    order = feeds.newest_first("published_at")
+    items = dated(spark, 95).repartition(7)
+    whole = [r.id for r in items.orderBy(*order).collect()]
+    for page in (1, 3, 10):
+        for deep in (0, paging.DEEP_ROWS):
+            assert [r.id for r in paging.page_of(items, order, page, deep=deep).collect()] == whole[(page - 1) * 10 : page * 10]
+    rows = feeds.published(cat.jobs).select("id", "created_at").collect()
+    rows.sort(key=lambda r: r.id)
+    rows.sort(key=lambda r: (r.created_at is not None, -r.created_at.timestamp() if r.created_at else 0))
+    assert [r.id for r in feeds.job_feed(cat.jobs, cat.companies).collect()] == [r.id for r in rows]

@@ -58,6 +58,45 @@ def test_uploads(spark, tmp_path):
     assert checked["d.gif"].reject_reason == TOO_LARGE and checked["d.gif"].header is None
 
 
+def test_uploads_end_to_end(spark, tmp_path):
+    folder = tmp_path / "up"
+    folder.mkdir()
+    (folder / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"x" * 20)
+    (folder / "b.txt").write_bytes(b"<svg/>")
+    files = uploads.read_uploads(spark, str(folder), uploaded_by=4)
+    (row,) = intake.media_rows(intake.check_uploads(files)).collect()
+    assert (row.filename, row.file_size, row.uploaded_by_id) == ("a.png", 28, 4)
+    assert row.filepath.startswith("/static/uploads/") and row.filepath.endswith(".png")
+    assert [r.id for r in uploads.read_uploads(spark, str(folder)).where("filename = 'a.png'").collect()] == [row.id]
+    unnamed = files.withColumn("filename", F.lit(" ").cast("string")).withColumn("filename", F.trim("filename"))
+    assert {r.reject_reason for r in intake.check_uploads(unnamed).collect()} == {"No file selected."}
+
+
+def test_messages_without_id_are_kept_apart(spark, tmp_path):
+    store, run = str(tmp_path / "store"), "r"
+    contact.open_store(spark, store)
+    rows = [(None, "a", "e", "s", "one"), (None, "b", "e", "s", "two"), (None, "a", "e", "s", "one"), (5, "c", "e", "s", "three"),
+            (5, "c", "e", "s", "other words")]
+    moment = F.expr("TIMESTAMP_NTZ'2024-05-01 10:00:00'")
+    batch = spark.createDataFrame(rows, "id bigint, name string, email string, subject string, message string")
+    batch = batch.withColumn("created_at", moment)
+    contact.store_batch(batch, 0, store, run)
+    contact.store_batch(batch, 1, store, run)  # sent again
+    found = contact.stored_messages(spark, store).collect()
+    assert sorted(r.message for r in found if r.outcome == "accepted") == ["one", "other words", "two"]
+    assert [(r.message, r.reject_reason) for r in found if r.outcome == "rejected"] == [("three", contact.CONFLICT)]
+    assert all(r.id < 0 for r in found if r.message in ("one", "two")) and len({r.id for r in found}) == 3
+
+
+def test_stored_catalogue_answers_like_the_tables(spark, cat, tmp_path):
+    catalogue.write_table(cat.companies, str(tmp_path), "companies")
+    stored = catalogue.read_catalogue(spark, str(tmp_path))
+    assert stored.companies.count() == cat.companies.count() and stored.spark is spark
+    assert dict(stored.companies.dtypes)["id"] == "bigint" and stored.companies.columns[0] == "id"
+    with pytest.raises(AttributeError):
+        stored.nothing
+
+
 def test_tables_are_stored_by_status(spark, cat, tmp_path):
     jobs = catalogue.conform(cat.jobs, "jobs")
     catalogue.write_table(jobs, str(tmp_path), "jobs")

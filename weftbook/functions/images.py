@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Size limit in bytes, first bytes of accepted kinds, and reasons.
 MAX_BYTES = 5 * 1024 * 1024
 HEADER_BYTES = 12
+NO_FILE = "No file selected."
 TOO_LARGE = "File size exceeds the 5MB maximum limit."
 BAD_FORMAT = "Invalid file format."
 EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/webp": ".webp"}
@@ -34,9 +35,9 @@ def extension(mime: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), mime)
 
 
-def refusal(size: Column, mime: Column) -> Column:
-    """Why a file is refused; NULL if it is accepted.  Size is looked at first."""
-    return F.when(size > MAX_BYTES, TOO_LARGE).when(mime.isNull(), BAD_FORMAT)
+def refusal(size: Column, mime: Column, name: Column) -> Column:
+    """Why a file is refused; NULL if it is accepted.  The name is looked at first, then the size."""
+    return F.when(F.coalesce(name, F.lit("")) == "", NO_FILE).when(size > MAX_BYTES, TOO_LARGE).when(mime.isNull(), BAD_FORMAT)
 
 
 def size_label(size: Column, mime: Column) -> Column:

@@ -43,6 +43,35 @@ def apply_creates(
     return base.unionByName(rows, allowMissingColumns=True)
 
 
+ACCEPTED, ID_TAKEN, SLUG_TAKEN, NO_TEXT = "accepted", "id taken", "slug taken", "missing text"
+
+
+def create_outcomes(base: DataFrame, creates: DataFrame, required: list[str], title: str = "title") -> DataFrame:
+    """New rows as they would be stored, with ``outcome``: accepted, or why the database refuses them.
+
+    A required text that is missing comes first, then an id, then a slug that a stored row has; of new rows with the same id or
+    slug the earliest (by ``changed_at``, then id) counts.  An empty slug (a title without any letter kept) counts as missing.
+    """
+    rows = _entered(creates, ARTICLE_DEFAULT, title)
+    empty = F.coalesce(F.col("slug"), F.lit("")) == ""
+    for column in required:
+        empty = empty | (F.coalesce(F.col(column).cast("string"), F.lit("")) == "")
+    rows = rows.withColumn("__empty", empty)
+    order = F.struct(F.col("__empty"), F.col("changed_at"), F.col("id"), F.col("slug"))
+    rows = rows.withColumn("__order", order)
+    for key in ("id", "slug"):
+        first = rows.groupBy(key).agg(F.min("__order").alias(f"__first_{key}"))
+        taken = present_keys(rows.select(key).where(F.col(key).isNotNull()).distinct(), base, key).withColumn(f"__taken_{key}", F.lit(True))
+        rows = lookup_join(lookup_join(rows, first, [key]), taken, [key])
+
+    def clash(key: str) -> Column:
+        return F.col(f"__taken_{key}").isNotNull() | (F.col("__order") > F.col(f"__first_{key}"))
+
+    outcome = F.when(F.col("__empty"), NO_TEXT).when(clash("id"), ID_TAKEN).when(clash("slug"), SLUG_TAKEN).otherwise(ACCEPTED)
+    helpers = ["__empty", "__order", *[f"__{kind}_{key}" for kind in ("first", "taken") for key in ("id", "slug")]]
+    return rows.withColumn("outcome", outcome).drop(*helpers)
+
+
 def _folded(edits: DataFrame, fields: list[str], default_status: str) -> DataFrame:
     """All edits of one id as one row: last values, last moment, first publishing moment.
 
@@ -159,13 +188,19 @@ def delete_rows(tables: dict[str, DataFrame], name: str, deleted: DataFrame, rul
 def insert_absent(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Add rows whose natural key is not there yet; running it again changes nothing.
 
-    Of new rows with the same key the one with the lowest id counts.
+    Of new rows with the same key the one with the lowest id counts.  Rows without a key cannot be told
+    apart and are not taken: see ``without_key``.
     """
-    first = new.groupBy(key).agg(F.min_by(F.struct(*new.columns), F.col("id")).alias("row")).select("row.*")
+    first = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*new.columns), F.col("id")).alias("row")).select("row.*")
     fresh = unique_join(first, present_keys(first, base, key), [key], "left_anti")
     return base.unionByName(fresh.select(*new.columns), allowMissingColumns=True)
 
 
+def without_key(new: DataFrame, key: str) -> DataFrame:
+    """The rows that ``insert_absent`` refuses."""
+    return new.where(F.col(key).isNull())
+
+
 def translation_columns(table: str) -> list[str]:
     return [f"{c}{suffix}" for c in TRANSLATED.get(table, ()) for suffix in TRANSLATION_SUFFIXES]
 

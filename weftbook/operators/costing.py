@@ -68,20 +68,26 @@ def _passed(reason: str, value: Column) -> Column:
 def sam_numbers(styles: DataFrame, reason: str = REASON) -> DataFrame:
     """Standard minutes with allowance, and pieces per operator and hour.
 
-    An allowance of -100 gives zero minutes and an unlimited target: NULL, flagged.
+    An allowance of -100 gives zero minutes and an unlimited target: NULL, flagged, and
+    ``target_sign`` tells its direction (an efficiency below zero turns it round).
     """
     c = F.col
     checked = _refuse(styles, reason, (~exceeds(c("smv"), 0.0), BAD_SMV))
     sam = c("smv") * (1 + or_default(c("allowance"), 0.0) / 100)
     per_hour = F.try_divide(F.lit(60.0), c("sam")) * (or_default(c("efficiency"), 100.0) / 100)
     return checked.withColumn("sam", _passed(reason, sam)).withColumns(
-        {"target_per_hour": per_hour, "infinite_target": c("sam") == 0}
+        {
+            "target_per_hour": per_hour,
+            "infinite_target": c("sam") == 0,
+            "target_sign": F.signum(or_default(c("efficiency"), 100.0)),
+        }
     )
 
 
 def sam_sheet(styles: DataFrame) -> DataFrame:
     c = F.col
-    target = F.when(c("infinite_target"), "Infinity").otherwise(fixed_text(c("target_per_hour"), 1))
+    unlimited = F.when(c("target_sign") < 0, "-Infinity").otherwise("Infinity")
+    target = F.when(c("infinite_target"), unlimited).otherwise(fixed_text(c("target_per_hour"), 1))
     return sam_numbers(styles).withColumns(
         {
             "sam_text": F.concat(fixed_text(c("sam"), 3), F.lit(" mins")),

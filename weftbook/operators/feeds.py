@@ -93,7 +93,6 @@ def job_feed(jobs: DataFrame, companies: DataFrame) -> DataFrame:
 def company_feed(companies: DataFrame, categories: DataFrame) -> DataFrame:
     return (
         with_category(published(companies), categories)
-        .orderBy("id")
         .select("id", "name", "slug", "description", "logo", "category", "website", "email", "phone", "address")
     )
 
@@ -101,7 +100,6 @@ def company_feed(companies: DataFrame, categories: DataFrame) -> DataFrame:
 def service_feed(services: DataFrame, companies: DataFrame) -> DataFrame:
     return (
         services_with_provider(published(services), companies)
-        .orderBy("id")
         .select("id", "name", "slug", "description", "provider")
     )
 
@@ -109,7 +107,6 @@ def service_feed(services: DataFrame, companies: DataFrame) -> DataFrame:
 def tool_feed(tools: DataFrame, categories: DataFrame) -> DataFrame:
     return (
         with_category(published(tools), categories)
-        .orderBy("id")
         .select("id", "name", "slug", "description", "category")
     )
 
@@ -134,6 +131,12 @@ def find_by_slug(requests: DataFrame, items: DataFrame, **options) -> DataFrame:
     return lookup_join(requests, hits, ["slug"], **options).withColumn("found", F.col("id").isNotNull())
 
 
+def records_by_slug(requests: DataFrame, feed: DataFrame, **options) -> DataFrame:
+    """The feed's whole record for every requested slug, and whether there is one."""
+    hits = feed.withColumn("found", F.lit(True))
+    return lookup_join(requests.select("slug"), hits, ["slug"], **options).withColumn("found", F.col("found").isNotNull())
+
+
 def first_n(items: DataFrame, n: int, order: list[Column] | None = None) -> DataFrame:
     """The first ``n`` published items by ``order`` (``id`` if none): a top-k, not a sort."""
     return published(items).orderBy(*(order or [F.col("id")])).limit(n)

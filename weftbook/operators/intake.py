@@ -25,7 +25,7 @@ def check_uploads(files: DataFrame) -> DataFrame:
     return (
         files.withColumn("file_type", mime)
         .withColumn("extension", images.extension(F.col("file_type")))
-        .withColumn("reject_reason", images.refusal(F.col("file_size"), F.col("file_type")))
+        .withColumn("reject_reason", images.refusal(F.col("file_size"), F.col("file_type"), F.col("filename")))
     )
 
 
@@ -37,7 +37,7 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("reject_reason").isNotNull())
 
 
-def media_rows(checked: DataFrame, folder: str = "/uploads/") -> DataFrame:
+def media_rows(checked: DataFrame, folder: str = "/static/uploads/") -> DataFrame:
     """Accepted files as rows of the media table, under a path made from their id."""
     return accepted(checked).select(
         "id",

@@ -1,110 +1,54 @@
 """Joins that look a key up in a table where it is unique.
 
-Every relation of the catalogue is of this kind: many rows on the left, at most
-one match on the right.  Two plans give the same rows:
-
-* the right side is small (its size is checked first): broadcast it;
-* otherwise the right side is shuffled.  One key may hold a large part of the left
-  rows, so the most frequent keys are found first.  Their number is fixed, hence so
-  is the number of right rows they need: those are broadcast and the hot left rows
-  never move.  Rows without a key match nothing and do not move either.  What is
-  shuffled has no key with more than 1/HOT_KEYS of the rows.
+Every relation of the catalogue is of this kind: many rows on the left, at most one match on the right.  No size
+is guessed here.  Spark broadcasts the right side if its own threshold allows, and after a shuffle again by the sizes
+it has measured; else it sorts and merges, reading each side once.  One key, or rows without a key, may hold a large
+part of the left rows: adaptive execution splits such a partition of the left side and gives every part the few right
+rows it needs (``spark.sql.adaptive.skewJoin``, see session.SETTINGS).
+
+``broadcast_bytes=0`` asks for the plan of a right side too large to broadcast, whatever its size.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-
-HOT_KEYS = 1024
-
-_HOT = "__hot"
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a frame: an upper bound from file sizes, no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether a frame may be broadcast: by ``limit`` bytes, or else by the session's own
-    ``spark.sql.autoBroadcastJoinThreshold`` (-1 there means never)."""
-    if limit is None:
-        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return estimated_bytes(df) <= limit
+def _maybe_large(right: DataFrame, broadcast_bytes: int | None) -> DataFrame:
+    return right.hint("merge") if broadcast_bytes == 0 else right
 
 
 def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    broadcast_bytes: int | None = None,
-    hot_keys: int = HOT_KEYS,
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Join ``left`` with ``right``, whose ``on`` columns are unique.
 
     ``how`` is left, inner, left_semi or left_anti.
     """
-    if is_small(right, broadcast_bytes):
-        return left.join(F.broadcast(right), on, how)
-    return _spread_join(left, right, on, how, hot_keys)
-
-
-def _spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, hot_keys: int) -> DataFrame:
-    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
-    # Ties at the cut are broken by the key, so that every use sees the same keys.
-    hot = (
-        left.where(has_key)
-        .groupBy(*on)
-        .count()
-        .orderBy(F.desc("count"), *on)
-        .limit(hot_keys)
-        .select(*on)
-    )
-    marked = left.join(F.broadcast(hot.withColumn(_HOT, F.lit(True))), on, "left")
-    still = marked.where(F.col(_HOT).isNotNull() | ~has_key).drop(_HOT)
-    moved = marked.where(F.col(_HOT).isNull() & has_key).drop(_HOT)
-    hot_right = right.join(F.broadcast(hot), on, "left_semi")
-    return still.join(F.broadcast(hot_right), on, how).unionByName(moved.join(right, on, how))
+    return left.join(_maybe_large(right, broadcast_bytes), on, how)
 
 
 def lookup_few(few: DataFrame, right: DataFrame, on: list[str], broadcast_bytes: int | None = None) -> DataFrame:
     """Left join for a ``few`` that a limit already holds to some ten rows.
 
-    A large right side is only filtered, never shuffled: it can match at most as many rows.
-    The few rows are stored first, because finding them may have read a whole table.
+    A right side of any size is only filtered by their keys, never shuffled: it can match at most as many rows.
     """
-    if is_small(right, broadcast_bytes):
-        return few.join(F.broadcast(right), on, "left")
-    shared_folder(few.sparkSession)
-    few = few.checkpoint()
-    matches = right.join(F.broadcast(few.select(*on).distinct()), on, "left_semi")
+    keys = F.broadcast(few.select(*on).distinct())
+    matches = _maybe_large(right, broadcast_bytes).join(keys, on, "left_semi")
     return few.join(F.broadcast(matches), on, "left")
 
 
 def unique_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "left", broadcast_bytes: int | None = None
 ) -> DataFrame:
-    """Join where the key is unique on both sides, so that no key can be hot.
-
-    A small right side (say, a batch of changes) leaves the large left side where it is.
-    """
-    return left.join(F.broadcast(right) if is_small(right, broadcast_bytes) else right, on, how)
+    """Join where the key is unique on both sides, so that no key can be hot."""
+    return left.join(_maybe_large(right, broadcast_bytes), on, how)
 
 
 def present_keys(keys: DataFrame, table: DataFrame, key: str, broadcast_bytes: int | None = None) -> DataFrame:
-    """Those of the unique ``keys`` that occur in a table.
-
-    For a small number of keys the table is only filtered.
-    """
-    if is_small(keys, broadcast_bytes):
-        return table.select(key).join(F.broadcast(keys.select(key)), key, "left_semi").distinct()
-    return keys.select(key).join(table.select(key).distinct(), key, "left_semi")
+    """Those of the unique ``keys`` that occur in a table; for few keys the table is only filtered."""
+    return table.select(key).join(_maybe_large(keys.select(key), broadcast_bytes), key, "left_semi").distinct()
 
 
 def child_counts(children: DataFrame, key: str, name: str = "n") -> DataFrame:

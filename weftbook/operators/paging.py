@@ -35,10 +35,16 @@ def page_of(
     number = page_number(page)
     skip = (number - 1) * per_page
     if skip + per_page > deep:
-        return all_pages(items, order, per_page).where(F.col("page_no") == number).select(*items.columns)
+        page = all_pages(items, order, per_page).where(F.col("page_no") == number)
+        return page.orderBy("position").select(*items.columns)
     return items.orderBy(*order).offset(skip).limit(per_page)
 
 
+def place_on_page(order: list[Column]) -> Column:
+    """Place of a row among the few rows of one page, from 1."""
+    return F.row_number().over(Window.orderBy(*order)).cast("bigint")
+
+
 def page_counts(feeds: dict[str, DataFrame], per_page: int = PER_PAGE) -> DataFrame:
     """Published rows and pages of every feed; an empty feed has no pages."""
     parts = [

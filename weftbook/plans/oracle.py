@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from ..schemas import TABLES
+
 
 def _minutes(n: str) -> str:
     return f"(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST({n} AS INT)))"
@@ -43,8 +45,10 @@ VIEWS = {
     "knowledge_categories": _REGION,
     "tool_categories": _REGION,
     "company_categories": "SELECT n_nationkey AS id, n_name AS name, lower(n_name) AS slug FROM nation",
-    "news_articles": "SELECT doc_id AS id, substring(text, 1, 60) AS title, concat('doc-', doc_id) AS slug,"
-    f" substring(text, 1, 200) AS summary, text AS content, {_article('doc_id')} FROM documents",
+    "news_articles": "SELECT doc_id AS id, 'Piece ' || doc_id || ' of ' || source || ' in ' || lang || ', the ' || n_chars || ' characters' AS title,"
+    " concat('doc-', doc_id) AS slug, 'A text of ' || n_chars || ' characters in the language ' || lang || ', taken from the source '"
+    " || source || ' and kept under the number ' || doc_id || '; it is shown with its category, its author and tags, and with the"
+    f" day on which it came out' AS summary, text AS content, {_article('doc_id')} FROM documents",
     "knowledge_articles": "SELECT page_id AS id, url AS title, concat('page-', page_id) AS slug,"
     f" concat('Page at ', url) AS summary, html AS content, {_article('page_id')} FROM pages",
     "companies": f"""SELECT c_custkey AS id, c_name AS name, concat('c-', c_custkey) AS slug,
@@ -79,7 +83,7 @@ FROM orders""",
     " concat(p_type, ' ', p_brand) AS description,"
     " CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_partkey % 5 END AS category_id,"
     " CASE WHEN p_partkey % 6 = 0 THEN 'draft' ELSE 'published' END AS status FROM part",
-    "media": f"""SELECT page_id AS id, url AS filename,
+    "media": f"""SELECT page_id AS id, CASE page_id % 23 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE url END AS filename,
   CASE page_id % 6 WHEN 0 THEN '89504E470D0A1A0A0000000D' WHEN 1 THEN 'FFD8FFE000104A4649460001'
     WHEN 2 THEN '474946383961010001008000' WHEN 3 THEN '524946462400000057454250'
     WHEN 4 THEN '524946462400000057415645' ELSE '3C21444F4354595045206874' END AS header_hex,
@@ -89,7 +93,7 @@ FROM orders""",
 FROM pages""",
     "checked_media": """SELECT *, CASE file_type WHEN 'image/png' THEN '.png' WHEN 'image/jpeg' THEN '.jpg'
     WHEN 'image/gif' THEN '.gif' WHEN 'image/webp' THEN '.webp' END AS extension,
-  CASE WHEN file_size > 5 * 1024 * 1024 THEN 'File size exceeds the 5MB maximum limit.'
+  CASE WHEN coalesce(filename, '') = '' THEN 'No file selected.' WHEN file_size > 5 * 1024 * 1024 THEN 'File size exceeds the 5MB maximum limit.'
     WHEN file_type IS NULL THEN 'Invalid file format.' END AS reject_reason
 FROM (SELECT *, CASE WHEN header_hex LIKE '89504E470D0A1A0A%' THEN 'image/png'
     WHEN header_hex LIKE 'FFD8FF%' THEN 'image/jpeg'
@@ -211,6 +215,16 @@ _add(
     ),
 )
 
+_add(
+    "stored_roundtrip",
+    "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, count(*) AS n, "
+        + " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in columns.split())
+        + f" + {len(TABLES[t].columns) - len(columns.split())} * count(*) AS missing FROM {t}"
+        for t, columns in _COLUMNS.items()
+    ),
+)
+
 _JOB_FEED = f"""SELECT j.id, j.title, j.slug, j.description, j.location, j.salary_range, j.job_type, c.name AS company,
   {_iso('j.created_at')} AS created_at
 FROM jobs j LEFT JOIN companies c ON c.id = j.company_id WHERE j.status = 'published'"""
@@ -227,7 +241,7 @@ UNION ALL SELECT id, username FROM users WHERE username NOT IN (SELECT name FROM
 )
 _add(
     "media_intake",
-    """SELECT id, filename, '/uploads/' || md5(CAST(id AS VARCHAR)) || extension AS filepath, file_type, file_size,
+    """SELECT id, filename, '/static/uploads/' || md5(CAST(id AS VARCHAR)) || extension AS filepath, file_type, file_size,
   uploaded_by_id, created_at FROM checked_media WHERE reject_reason IS NULL""",
 )
 
@@ -560,6 +574,11 @@ _add(
     """SELECT id, title, published_at FROM news_articles WHERE status = 'published'
 ORDER BY published_at DESC NULLS FIRST, id LIMIT 10 OFFSET 20""",
 )
+_add(
+    "page_of_feed_deep",
+    """SELECT id, title, published_at, row_number() OVER (ORDER BY published_at DESC NULLS FIRST, id) AS position
+FROM news_articles WHERE status = 'published' QUALIFY position BETWEEN 21 AND 30""",
+)
 _add(
     "latest_published",
     "\nUNION ALL\n".join(
@@ -671,7 +690,7 @@ _CREATED = f"""SELECT item_id + 100000000000 AS id, title,
   CASE WHEN item_id % 4 = 0 THEN NULL ELSE item_id % 5 END AS category_id, item_id % 120 AS author_id,
   coalesce(asked, 'draft') AS status, CASE WHEN asked = 'published' THEN moment END AS published_at,
   moment AS created_at, moment AS updated_at
-FROM (SELECT *, substring(text, 1, 60) AS title, substring(text, 1, 200) AS summary,
+FROM (SELECT *, 'Entry Ñ' || item_id || ' / of the set' AS title, 'Passage ' || item_id || ' as it was sent in' AS summary,
     CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Item ', item_id, '/New') END AS given,
     CASE item_id % 3 WHEN 0 THEN 'published' WHEN 1 THEN NULL ELSE 'review' END AS asked,
     {_minutes('item_id % 1000003')} AS moment FROM benchmark)"""
@@ -738,6 +757,34 @@ _add(
         ]
     ),
 )
+def _all_rules() -> list[str]:
+    parts = []
+    for table, columns in _COLUMNS.items():
+        rule, held = TABLES[table], set(columns.split())
+        for key in rule.unique:
+            if held.issuperset(key):
+                names, given = ", ".join(key), " AND ".join(f"{c} IS NOT NULL" for c in key)
+                text = " || '/' || ".join(f"CAST({c} AS VARCHAR)" for c in key)
+                parts.append(_report(table, "unique", ",".join(key), text, "count(*)",
+                                     f"FROM {table} WHERE {given} GROUP BY {names} HAVING count(*) > 1"))
+        for c, (_, size, required) in rule.columns.items():
+            if c not in held:
+                continue
+            if required:
+                parts.append(_report(table, "not null", c, "NULL", "count(*)", f"FROM {table} WHERE {c} IS NULL HAVING count(*) > 0"))
+            if size and "id" in held:
+                parts.append(_report(table, "length", c, "id", f"length({c})", f"FROM {table} WHERE length({c}) > {size}"))
+            if c in rule.foreign_keys:
+                parent = rule.foreign_keys[c][0]
+                parts.append(_report(table, "foreign key", c, c, "count(*)",
+                                     f"FROM {table} WHERE {c} NOT IN (SELECT id FROM {parent}) GROUP BY {c}"))
+            if c in rule.domains:
+                values = ", ".join(f"'{v}'" for v in rule.domains[c])
+                parts.append(_report(table, "domain", c, c, "count(*)", f"FROM {table} WHERE {c} NOT IN ({values}) GROUP BY {c}"))
+    return parts
+
+
+_add("violations_all", "\nUNION ALL\n".join(_all_rules()))
 _add(
     "violations_not_null",
     "\nUNION ALL\n".join(
@@ -779,8 +826,8 @@ _add(
 )
 _add(
     "item_slugs",
-    f"""SELECT id, {_slug("replace(lower(title), ' ', '-')")} AS made,
-  {_slug("coalesce(nullif(seo_title, ''), replace(lower(title), ' ', '-'))")} AS kept FROM news_articles""",
+    f"""SELECT id, {_slug("replace(lower(content), ' ', '-')")} AS made,
+  {_slug("coalesce(nullif(seo_title, ''), replace(lower(content), ' ', '-'))")} AS kept FROM news_articles""",
 )
 _add(
     "browser_numbers",
@@ -1000,3 +1047,86 @@ _add(
 
 _add("contact_intake", "SELECT id, name, email, subject, message, created_at, is_read, reject_reason FROM checked_messages")
 _add("inbox_stream", f"SELECT id, name, email, subject, message, created_at {_INBOX}")
+
+ORACLE["stored_homepage"], ORACLE["stored_search_all"] = ORACLE["homepage"], ORACLE["search_all"]
+_add(
+    "category_feed_knowledge",
+    """SELECT a.id, a.title, a.slug, c.name AS category, a.published_at
+FROM knowledge_articles a JOIN knowledge_categories c ON c.id = a.category_id
+WHERE c.slug = 'asia' AND a.status = 'published' ORDER BY a.published_at DESC NULLS FIRST, a.id LIMIT 10 OFFSET 10""",
+)
+_add(
+    "category_feed_tools",
+    """SELECT a.id, a.name, a.slug, c.name AS category FROM tools a JOIN tool_categories c ON c.id = a.category_id
+WHERE c.slug = 'asia' AND a.status = 'published'""",
+)
+_ASKED = {
+    "asked_news": "SELECT DISTINCT slug FROM (SELECT 'doc-' || doc_id AS slug FROM labels"
+    " UNION ALL SELECT CASE toxic WHEN 1 THEN '' ELSE 'Doc ' || doc_id END FROM labels)",
+    "asked_knowledge": "SELECT 'page-' || vec_id AS slug FROM embeddings",
+    "asked_tools": "SELECT 't-' || c_custkey AS slug FROM customer",
+}
+_add(
+    "feed_record_by_slug",
+    "\nUNION ALL\n".join(
+        f"SELECT '{kind}' AS kind, s.slug, a.id IS NOT NULL AS found, a.{name} AS title, c.name AS category FROM asked_{kind} s"
+        f" LEFT JOIN (SELECT * FROM {table} WHERE status = 'published') a ON a.slug = s.slug"
+        f" LEFT JOIN {groups} c ON c.id = a.category_id"
+        for kind, table, groups, name in (
+            ("news", "news_articles", "news_categories", "title"),
+            ("knowledge", "knowledge_articles", "knowledge_categories", "title"),
+            ("tools", "tools", "tool_categories", "name"),
+        )
+    ),
+    _ASKED,
+)
+_LEFT = {
+    "companies": ("category_id", "id NOT IN (SELECT id FROM closed_companies)"),
+    "jobs": ("company_id", "company_id NOT IN (SELECT id FROM closed_companies)"),
+    "services": ("provider_id", "provider_id NOT IN (SELECT id FROM closed_companies)"),
+    "news_articles": ("CASE WHEN author_id NOT IN (SELECT id FROM closed_users) THEN author_id END", "id NOT IN (SELECT vec_id FROM embeddings)"),
+    "knowledge_articles": ("CASE WHEN category_id NOT IN (SELECT id FROM closed_categories) THEN category_id END", "true"),
+    "tools": ("CASE WHEN category_id NOT IN (SELECT id FROM closed_categories) THEN category_id END", "true"),
+    "media": ("CASE WHEN uploaded_by_id NOT IN (SELECT id FROM closed_users) THEN uploaded_by_id END", "true"),
+    "news_tags": ("news_id", "news_id NOT IN (SELECT vec_id FROM embeddings)"),
+    "users": ("id", "id NOT IN (SELECT id FROM closed_users)"),
+}
+_add(
+    "delete_everywhere",
+    "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, count(*) AS n, count(*) FILTER (k IS NULL) AS empty, CAST(coalesce(sum(k), 0) AS BIGINT) AS key_sum"
+        f" FROM (SELECT {key} AS k FROM {t} WHERE {where})"
+        for t, (key, where) in _LEFT.items()
+    ),
+)
+_add(
+    "apply_creates_jobs",
+    f"""SELECT id, title, slug, company_id, location, status, created_at FROM jobs
+UNION ALL SELECT id + 100000000000, title, {_slug("replace(lower(title), ' ', '-')")}, id, 'zone 1',
+  CASE WHEN id % 2 = 0 THEN 'draft' ELSE 'published' END, created_at
+FROM (SELECT id, 'Cutter / no. ' || id AS title, created_at FROM companies)""",
+)
+_add(
+    "apply_edits_companies",
+    f"""SELECT id, CASE WHEN made IS NULL THEN name ELSE made END AS name,
+  CASE WHEN made IS NULL THEN slug ELSE {_slug("replace(lower(made), ' ', '-')")} END AS slug,
+  CASE WHEN made IS NULL THEN status ELSE 'published' END AS status,
+  CASE WHEN made IS NULL THEN category_id ELSE id % 25 END AS category_id, description
+FROM (SELECT c.*, s.s_name || ' & Co 2' AS made FROM companies c LEFT JOIN supplier s ON s.s_suppkey = c.id)""",
+)
+_add(
+    "change_outcomes",
+    f"""SELECT id, slug, CASE WHEN empty THEN 'missing text'
+  WHEN id IN (SELECT id FROM news_articles) OR id_place > 1 THEN 'id taken'
+  WHEN slug IN (SELECT slug FROM news_articles) OR slug_place > 1 THEN 'slug taken' ELSE 'accepted' END AS outcome
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY empty, moment, slug) AS id_place,
+    row_number() OVER (PARTITION BY slug ORDER BY empty, moment, id) AS slug_place
+  FROM (SELECT *, slug = '' OR summary = '' OR coalesce(content, '') = '' AS empty
+    FROM (SELECT id, moment, summary, content, {_slug("coalesce(nullif(given, ''), replace(lower(title), ' ', '-'))")} AS slug
+      FROM (SELECT CASE WHEN number % 5 = 0 THEN item_id ELSE number END AS id, {_minutes('item_id % 1000003')} AS moment,
+          'Entry Ñ' || item_id || ' / of the set' AS title, text AS content,
+          CASE WHEN number % 11 = 0 THEN '' ELSE 'Passage ' || item_id || ' as it was sent in' END AS summary,
+          CASE number % 7 WHEN 1 THEN 'doc-3' WHEN 2 THEN 'twice' ELSE
+            CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Item ', item_id, '/New') END END AS given
+        FROM (SELECT *, item_id + 100000000000 AS number FROM benchmark)))))""",
+)

@@ -26,6 +26,7 @@ from ..operators import (
 )
 from ..schemas import JOB_TYPES, LISTING_STATUSES, TABLES
 from ..session import run_folder
+from ..sources.catalogue import read_catalogue, write_catalogue
 from ..sources.exports import json_record, read_sitemap, write_feed, write_sitemap
 from ..sources.testviews import RAW_COLUMNS, Catalogue, from_events
 from ..streaming import contact
@@ -77,6 +78,34 @@ def scan_catalogue(cat):
     return _union(parts)
 
 
+def _stored(cat):
+    """The whole catalogue written to the work folder and opened again."""
+    root = run_folder(cat.spark, "catalogue")
+    write_catalogue(cat, root)
+    return read_catalogue(cat.spark, root)
+
+
+@query("stored_roundtrip")
+def stored_roundtrip(cat):
+    """Every table stored in its declared columns and read back: rows and missing values."""
+    stored, parts = _stored(cat), []
+    for name, table in TABLES.items():
+        missing = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in table.columns])
+        parts.append(getattr(stored, name).agg(F.count(F.lit(1)).alias("n"), missing.alias("missing")).select(
+            F.lit(name).alias("table_name"), "n", "missing"))
+    return _union(parts)
+
+
+@query("stored_homepage")
+def stored_homepage(cat):
+    return dashboard.homepage(_stored(cat))
+
+
+@query("stored_search_all")
+def stored_search_all(cat):
+    return search.search_all(_stored(cat), WORD)
+
+
 @query("feed_json_export")
 def feed_json_export(cat):
     feed = feeds.job_feed(cat.jobs, cat.companies)
@@ -235,6 +264,36 @@ def category_feed(cat):
     )
 
 
+@query("category_feed_knowledge")
+def category_feed_knowledge(cat):
+    """The second page of a category's guides."""
+    guides = feeds.in_category(cat.knowledge_articles, cat.knowledge_categories, CATEGORY)
+    page = paging.page_of(guides, feeds.newest_first("published_at"), 2)
+    return page.select("id", "title", "slug", "category", "published_at")
+
+
+@query("category_feed_tools")
+def category_feed_tools(cat):
+    return feeds.in_category(cat.tools, cat.tool_categories, CATEGORY).select("id", "name", "slug", "category")
+
+
+@query("feed_record_by_slug")
+def feed_record_by_slug(cat):
+    """The feed's record for every asked slug: one per labelled document, page and part."""
+    asked = {
+        "news": (feeds.article_feed(cat.news_articles, cat.news_categories), cat.article_edits.select("slug").distinct(), "title"),
+        "knowledge": (
+            feeds.article_feed(cat.knowledge_articles, cat.knowledge_categories),
+            cat.article_deletes.selectExpr("concat('page-', id) AS slug"), "title",
+        ),
+        "tools": (feeds.tool_feed(cat.tools, cat.tool_categories), cat.companies.selectExpr("concat('t-', id) AS slug"), "name"),
+    }
+    return _union([
+        _kind(kind, feeds.records_by_slug(slugs, feed), "slug", "found", F.col(name).alias("title"), "category")
+        for kind, (feed, slugs, name) in asked.items()
+    ])
+
+
 # A word that occurs in the test rows of each kind.
 WORDS = {"news": WORD, "knowledge": WORD, "jobs": "URGE", "companies": "build", "tools": "brand#1"}
 
@@ -392,6 +451,14 @@ def page_of_feed(cat):
     return paging.page_of(feeds.published(cat.news_articles), order, PAGE).select("id", "title", "published_at")
 
 
+@query("page_of_feed_deep")
+def page_of_feed_deep(cat):
+    """The same page by way of numbered pages, as for pages far back."""
+    order = feeds.newest_first("published_at")
+    items = feeds.published(cat.news_articles).select("id", "title", "published_at")
+    return paging.page_of(items, order, PAGE, deep=0).withColumn("position", paging.place_on_page(order) + (PAGE - 1) * paging.PER_PAGE)
+
+
 @query("latest_published")
 def latest_published(cat):
     order = feeds.newest_first("published_at")
@@ -526,6 +593,71 @@ def set_null_on_delete(cat):
     return changes.release_children(news, "author_id", cat.closed_users).select("id", "category_id", "author_id")
 
 
+@query("delete_everywhere")
+def delete_everywhere(cat):
+    """Users, companies and categories deleted, following every foreign key: what is left, and which keys were emptied."""
+    tables = {name: getattr(cat, name) for name in TABLES}
+    for name, gone in (
+        ("companies", cat.closed_companies), ("users", cat.closed_users), ("news_articles", cat.article_deletes),
+        ("tool_categories", cat.closed_categories), ("knowledge_categories", cat.closed_categories),
+    ):
+        tables = changes.delete_rows(tables, name, gone.select(F.col("id").cast("bigint").alias("id")), TABLES)
+    keys = {
+        "companies": "category_id", "jobs": "company_id", "services": "provider_id", "news_articles": "author_id",
+        "knowledge_articles": "category_id", "tools": "category_id", "media": "uploaded_by_id", "news_tags": "news_id", "users": "id",
+    }
+    return _union([
+        tables[name].agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("empty"),
+            F.coalesce(F.sum(F.col(key).cast("bigint")), F.lit(0)).cast("bigint").alias("key_sum"),
+        ).select(F.lit(name).alias("table_name"), "n", "empty", "key_sum")
+        for name, key in keys.items()
+    ])
+
+
+@query("apply_creates_jobs")
+def apply_creates_jobs(cat):
+    """New jobs, one per customer: a job without a status is published, and no publishing moment is kept."""
+    creates = cat.companies.selectExpr(
+        "id + 100000000000 AS id", "concat('Cutter / no. ', id) AS title", "CAST(NULL AS STRING) AS slug", "description",
+        "id AS company_id", "'zone 1' AS location", "CASE WHEN id % 2 = 0 THEN 'draft' END AS status", "created_at AS changed_at",
+    )
+    grown = changes.apply_creates(cat.jobs, creates, changes.LISTING_DEFAULT)
+    return grown.select("id", "title", "slug", "company_id", "location", "status", "created_at")
+
+
+@query("apply_edits_companies")
+def apply_edits_companies(cat):
+    """Two edits per supplier's company; a missing status means published."""
+    edits = cat.users.selectExpr(
+        "id", "explode(array(1, 2)) AS turn", "username"
+    ).selectExpr(
+        "id * 2 + turn AS change_id", "id", "timestampadd(MINUTE, turn, TIMESTAMP_NTZ'2024-06-01 00:00:00') AS changed_at",
+        "concat(username, ' & Co ', turn) AS name", "'' AS slug", "CASE WHEN turn = 1 THEN 'draft' END AS status",
+        "CAST(id % 25 AS STRING) AS category_id",
+    )
+    fields = ["name", "slug", "status", "category_id"]
+    edited = changes.apply_edits(cat.companies, edits, fields, changes.LISTING_DEFAULT, "name")
+    return edited.select("id", "name", "slug", "status", "category_id", "description")
+
+
+@query("change_outcomes")
+def change_outcomes(cat):
+    """Why new articles are taken or refused: missing texts, ids and slugs that are taken already."""
+    creates = cat.article_creates.selectExpr(
+        "CASE WHEN id % 5 = 0 THEN id - 100000000000 ELSE id END AS id", "changed_at", "title",
+        "CASE id % 7 WHEN 1 THEN 'doc-3' WHEN 2 THEN 'twice' ELSE slug END AS slug", "CASE WHEN id % 11 = 0 THEN '' ELSE summary END AS summary",
+        "content", "category_id", "status",
+    )
+    return changes.create_outcomes(cat.news_articles, creates, ["title", "summary", "content"]).select("id", "slug", "outcome")
+
+
+@query("violations_all")
+def violations_all(cat):
+    """Every declared rule over all tables."""
+    return integrity.check_tables({name: getattr(cat, name) for name in TABLES}, TABLES)
+
+
 @query("violations_unique")
 def violations_unique(cat):
     return integrity.duplicates(cat.news_articles, "news_articles", ["content"], digest=True).unionByName(
@@ -567,13 +699,13 @@ def violations_domain(cat):
 
 @query("item_slugs")
 def item_slugs(cat):
-    return cat.news_articles.select("id", slug_of(F.col("title")).alias("made"), slug_of(F.col("title"), F.col("seo_title")).alias("kept"))
+    return cat.news_articles.select("id", slug_of(F.col("content")).alias("made"), slug_of(F.col("content"), F.col("seo_title")).alias("kept"))
 
 
 @query("browser_numbers")
 def browser_numbers(cat):
     """Numbers at the start of texts, and decimal texts of event values."""
-    tail = F.substring("message", 7, 20)
+    tail = F.regexp_extract("message", ": *(.*)$", 1)
     events = cat.contact_messages.select("id", tail.alias("tail"))
     return events.select(
         "id",

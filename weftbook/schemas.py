@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-INT, BOOL, TEXT, TIME = T.IntegerType(), T.BooleanType(), T.StringType(), T.TimestampNTZType()
+LONG, BOOL, TEXT, TIME = T.LongType(), T.BooleanType(), T.StringType(), T.TimestampNTZType()
 
 ARTICLE_STATUSES = ("draft", "review", "published", "archived")
 LISTING_STATUSES = ("draft", "published", "archived")
@@ -41,7 +41,7 @@ class Table:
 
 
 def _key() -> dict:
-    return {"id": (INT, None, True)}
+    return {"id": (LONG, None, True)}
 
 
 def _times(updated: bool = True) -> dict:
@@ -80,8 +80,8 @@ def _article_table(categories: str) -> Table:
             "summary": (TEXT, None, True),
             "content": (TEXT, None, True),
             "featured_image": (TEXT, 255, False),
-            "category_id": (INT, None, False),
-            "author_id": (INT, None, False),
+            "category_id": (LONG, None, False),
+            "author_id": (LONG, None, False),
             "status": (TEXT, 20, True),
             "published_at": (TIME, None, False),
             **_times(),
@@ -95,7 +95,7 @@ def _article_table(categories: str) -> Table:
 
 def _bridge(owner: str, parent: str) -> Table:
     return Table(
-        {owner: (INT, None, True), "tag_id": (INT, None, True)},
+        {owner: (LONG, None, True), "tag_id": (LONG, None, True)},
         unique=((owner, "tag_id"),),
         foreign_keys={owner: (parent, "cascade"), "tag_id": ("tags", "cascade")},
     )
@@ -132,7 +132,7 @@ TABLES: dict[str, Table] = {
             "slug": (TEXT, 255, True),
             "description": (TEXT, None, True),
             "logo": (TEXT, 255, False),
-            "category_id": (INT, None, False),
+            "category_id": (LONG, None, False),
             "website": (TEXT, 255, False),
             "email": (TEXT, 120, False),
             "phone": (TEXT, 50, False),
@@ -151,7 +151,7 @@ TABLES: dict[str, Table] = {
             "title": (TEXT, 255, True),
             "slug": (TEXT, 255, True),
             "description": (TEXT, None, True),
-            "company_id": (INT, None, True),
+            "company_id": (LONG, None, True),
             "location": (TEXT, 150, True),
             "salary_range": (TEXT, 100, False),
             "job_type": (TEXT, 50, False),
@@ -169,7 +169,7 @@ TABLES: dict[str, Table] = {
             "name": (TEXT, 255, True),
             "slug": (TEXT, 255, True),
             "description": (TEXT, None, True),
-            "provider_id": (INT, None, True),
+            "provider_id": (LONG, None, True),
             "status": (TEXT, 20, True),
             **_times(),
         },
@@ -183,7 +183,7 @@ TABLES: dict[str, Table] = {
             "name": (TEXT, 255, True),
             "slug": (TEXT, 255, True),
             "description": (TEXT, None, True),
-            "category_id": (INT, None, False),
+            "category_id": (LONG, None, False),
             "status": (TEXT, 20, True),
             **_times(),
             **_seo(),
@@ -198,8 +198,8 @@ TABLES: dict[str, Table] = {
             "filename": (TEXT, 255, True),
             "filepath": (TEXT, 255, True),
             "file_type": (TEXT, 50, False),
-            "file_size": (INT, None, False),
-            "uploaded_by_id": (INT, None, False),
+            "file_size": (LONG, None, False),
+            "uploaded_by_id": (LONG, None, False),
             **_times(updated=False),
         },
         foreign_keys={"uploaded_by_id": ("users", "set null")},

@@ -17,8 +17,31 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name].struct()).parquet(f"{root}/{name}")
 
 
-def read_catalogue(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {name: read_table(spark, root, name) for name in TABLES}
+class StoredCatalogue:
+    """All stored tables below one folder, opened on first use: ``StoredCatalogue(spark, root).jobs``.
+
+    What asks several tables at once (front page, search, site map, counts, relations) takes such an object.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        frame = read_table(self.spark, self.root, name)
+        setattr(self, name, frame)
+        return frame
+
+
+def read_catalogue(spark: SparkSession, root: str) -> StoredCatalogue:
+    return StoredCatalogue(spark, root)
+
+
+def write_catalogue(tables, root: str) -> None:
+    """Store every declared table of an object that has them as attributes."""
+    for name in TABLES:
+        write_table(getattr(tables, name), root, name)
 
 
 def read_jdbc(
@@ -62,7 +85,8 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
-    """Store a table: by status where it has one, else in plain files."""
+    """Store a table in its declared columns: by status where it has one, else in plain files."""
+    df = conform(df, name)
     writer: DataFrameWriter = df.write.mode(mode)
     if "status" in df.columns:
         writer = writer.partitionBy("status")

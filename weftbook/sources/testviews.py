@@ -2,7 +2,7 @@
 
 Every view takes a whole table.  Dates come from ids, never from the clock; NULLs,
 empty texts, every status and published rows without a date occur on purpose.  The test tables
-have no titles and summaries, so these are made from the text; ``content`` is the whole text.
+have no titles and summaries, so these are made from other columns; ``content`` is the whole text.
 """
 
 from __future__ import annotations
@@ -64,9 +64,11 @@ def _article_columns(key: str) -> list[str]:
 def news_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "documents").selectExpr(
         "doc_id AS id",
-        "substring(text, 1, 60) AS title",
+        "concat('Piece ', doc_id, ' of ', source, ' in ', lang, ', the ', n_chars, ' characters') AS title",
         "concat('doc-', doc_id) AS slug",
-        "substring(text, 1, 200) AS summary",
+        "concat('A text of ', n_chars, ' characters in the language ', lang, ', taken from the source ', source, ' and kept under',"
+        " ' the number ', doc_id, '; it is shown with its category, its author and tags, and with the day on which it came out')"
+        " AS summary",
         "text AS content",
         *_article_columns("doc_id"),
     )
@@ -190,7 +192,7 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return raw(spark, sf_dir, "pages").selectExpr(
         "page_id AS id",
-        "url AS filename",
+        "CASE page_id % 23 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE url END AS filename",
         f"{header} AS header",
         "CAST(CASE page_id % 9 WHEN 0 THEN 5242880 WHEN 1 THEN 5242881 ELSE octet_length(html) + 12 END AS BIGINT)"
         " AS file_size",
@@ -259,9 +261,9 @@ def article_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "benchmark").selectExpr(
         "item_id + 100000000000 AS id",
         f"{_minutes('item_id % 1000003')} AS changed_at",
-        "substring(text, 1, 60) AS title",
+        "concat('Entry Ñ', item_id, ' / of the set') AS title",
         "CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Item ', item_id, '/New') END AS slug",
-        "substring(text, 1, 200) AS summary",
+        "concat('Passage ', item_id, ' as it was sent in') AS summary",
         "text AS content",
         "CASE WHEN item_id % 4 = 0 THEN '' ELSE CAST(item_id % 5 AS STRING) END AS category_id",
         "item_id % 120 AS author_id",

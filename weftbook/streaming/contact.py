@@ -10,8 +10,9 @@ also of an earlier run over the same source, is recognised by id and not stored
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +21,8 @@ from ..operators.dashboard import INBOX as INBOX_SIZE
 from ..operators.feeds import newest_first
 from ..operators.intake import check_messages
 
+CONFLICT = "Another message has this id"
+
 MESSAGE = (
     T.StructType()
     .add("id", T.LongType())
@@ -70,18 +73,40 @@ def _unseen(batch: DataFrame, run: str, number: int, store: str) -> DataFrame:
     Ids rise as messages arrive, so only files that reach into this batch's range of ids
     are read: the range goes to the file scan as a filter.
     """
-    low, high = batch.agg(F.min("id"), F.max("id")).first()
-    if low is None:
+    sides = {"given": F.col("id") >= 0, "made": F.col("id") < 0}  # ids made by with_ids are below zero
+    borders = batch.agg(*[f(F.when(side, F.col("id"))) for side in sides.values() for f in (F.min, F.max)]).first()
+    ranges = [(low, high) for low, high in zip(borders[::2], borders[1::2]) if low is not None]
+    if not ranges:
         return batch
-    others = stored_messages(batch.sparkSession, store).where(
-        _elsewhere(run, "batch", number) & F.col("id").between(low, high)
-    )
+    inside = reduce(lambda a, b: a | b, [F.col("id").between(low, high) for low, high in ranges])
+    others = stored_messages(batch.sparkSession, store).where(_elsewhere(run, "batch", number) & inside)
     return batch.join(others.select("id"), "id", "left_anti")
 
 
+def with_ids(messages: DataFrame) -> DataFrame:
+    """Give messages without id one: the day it came, then a digest of all its fields, below zero.
+
+    The same message sent again gets the same id; messages that differ in any field do not share one (but for a
+    chance of one in 2^48 per pair of a day, which ``store_batch`` then shows as a conflict).  The day keeps ids in order of
+    arrival, so that looking for repeats reads few files.
+    """
+    others = [f for f in MESSAGE.names if f != "id"]
+    day = F.coalesce(F.unix_date(F.col("created_at").cast("date")), F.lit(0)).cast("bigint")
+    texts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in others]
+    digest = F.pmod(F.xxhash64(*texts), F.lit(1 << 48))
+    return messages.withColumn("id", F.coalesce("id", -(F.pmod(day, F.lit(32767)) * F.lit(1 << 48) + digest + 1)))
+
+
 def store_batch(batch: DataFrame, number: int, store: str, run: str) -> None:
-    """Check, stamp and store one micro-batch; running it twice gives the same rows."""
-    checked = check_messages(_unseen(batch.dropDuplicates(["id"]), run, number, store))
+    """Check, stamp and store one micro-batch; running it twice gives the same rows.
+
+    Of different messages under one id the first by its fields counts, the others are stored as rejected.
+    """
+    fields = [c for c in MESSAGE.names if c != "id"]
+    place = F.row_number().over(Window.partitionBy("id").orderBy("created_at", *[c for c in fields if c != "created_at"]))
+    distinct = with_ids(batch).dropDuplicates(MESSAGE.names).withColumn("__place", place)
+    checked = check_messages(_unseen(distinct, run, number, store))
+    checked = checked.withColumn("reject_reason", F.when(F.col("__place") > 1, CONFLICT).otherwise(F.col("reject_reason")))
     outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
     (
         checked.select(*CHECKED.names, outcome.alias("outcome"))
@@ -112,7 +137,7 @@ def refresh_inbox(batch: DataFrame, number: int, store: str, run: str, n: int =
     replaced.  Merging the same messages again changes nothing.
     """
     box = number % 2
-    valid = check_messages(batch).where(F.col("reject_reason").isNull())
+    valid = check_messages(with_ids(batch)).where(F.col("reject_reason").isNull())
     before = _boxes(batch.sparkSession, store).where(_elsewhere(run, "box", box))
     (
         _latest(before.select(*MESSAGE.names).unionByName(_latest(valid, n)), n)
