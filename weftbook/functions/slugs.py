@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ def _compatible_form(value: Column) -> Column:
     """
 
     def normal(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: v if v is None else unicodedata.normalize("NFKD", v))
+        return values.str.normalize("NFKD")
 
     return F.pandas_udf(normal, StringType())(value)
 

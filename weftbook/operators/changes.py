@@ -14,6 +14,7 @@ from ..functions.text import either
 from ..schemas import PUBLISHED, TRANSLATED, TRANSLATION_SUFFIXES
 from .lookup import lookup_join, present_keys, unique_join
 
+# Status of new rows that name none.
 ARTICLE_DEFAULT, LISTING_DEFAULT = "draft", "published"
 
 

@@ -21,6 +21,7 @@ COUNTED = {
     "companies": "companies",
     "tools": "tools",
 }
+# Rows of each block, and texts for what is missing.
 LATEST, FEATURED, INBOX = 3, 4, 5
 NO_CATEGORY, NO_DATE = "None", "Not Published"
 

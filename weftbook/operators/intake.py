@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images
 
+# Fields a message must have, and the refusal.
 REQUIRED = ("name", "email", "subject", "message")
 MISSING = "Missing required fields"
 

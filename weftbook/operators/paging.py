@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from .feeds import published
 
-PER_PAGE = 10
+PER_PAGE = 10  # fixed value: rows of a page
 DEEP_ROWS = 10_000
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .feeds import published
 from .lookup import child_counts, lookup_join
 
+# Items shown beside one.
 RELATED = 3
 GUIDES = 2
 

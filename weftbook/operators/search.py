@@ -12,6 +12,7 @@ from ..functions.text import DASH_DATE, date_text, shown, word_cut
 from .feeds import first_n
 from .lookup import lookup_few
 
+# Fixed value: hits shown per section.
 HITS = 10
 
 # The columns each kind is searched in.

@@ -779,7 +779,8 @@ def costing_sheet(cat):
 def _taken_in(spark: SparkSession, sf_dir: str, inbox: bool) -> str:
     """Run the intake over the event files; returns the store."""
     # As a pattern the path may be one file or a folder of files.
-    files = spark.readStream.schema(RAW_COLUMNS["events"]).parquet(f"{sf_dir}/events.parquet*")
+    reader = spark.readStream.schema(RAW_COLUMNS["events"]).option("maxFilesPerTrigger", contact.BATCH_FILES)
+    files = reader.parquet(f"{sf_dir}/events.parquet*")
     stream = from_events(files)
     folder = run_folder(spark, "intake")
     contact.start_intake(stream, f"{folder}/store", f"{folder}/checkpoint", inbox).awaitTermination()

@@ -21,6 +21,7 @@ from ..operators.dashboard import INBOX as INBOX_SIZE
 from ..operators.feeds import newest_first
 from ..operators.intake import check_messages
 
+BATCH_FILES = 200  # files of a backlog that one micro-batch takes
 CONFLICT = "Another message has this id"
 
 MESSAGE = (
