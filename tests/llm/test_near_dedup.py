@@ -64,6 +64,12 @@ def test_groups_chains_and_odd_rows(spark):
     for i in range(30):
         drift[(i * 7) % 200] = word()
         docs.append((200 + i, " ".join(drift)))
+    core = [word() for _ in range(120)]
+    for i in range(150):  # a group around the threshold: some linked with many, some with few or none
+        changed = list(core)
+        for _ in range(rng.randrange(1, 5)):
+            changed[rng.randrange(120)] = word()
+        docs.append((1000 + i, " ".join(changed)))
     passage = " ".join(word() for _ in range(60))
     docs += [(300 + i, passage + " " + " ".join(word() for _ in range(60))) for i in range(40)]
     docs += [(400, "One two"), (401, "oNE\tTWO"), (402, "one two three"), (403, "a b c d e"), (404, "A b  c d E"), (405, "é à"), (406, "É à")]

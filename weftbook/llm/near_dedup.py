@@ -5,9 +5,11 @@
 2.  In every bucket of a band key each class is paired with the smallest one only.  The number of bits in which two sketches
     differ estimates their similarity; what is far below the threshold goes.  Each class's nearest such partner is
     confirmed on full sets first, then the other pairs that still join different components.
-3.  Buckets whose members are then all in one component are settled.  In the others (few) every two members of different
-    components are compared by sketch, and confirmed.  So no link is lost by pairing with one member only, and
-    the pairs inside a large group of copies are never formed.
+3.  Buckets whose members are then all in one component are settled.  In the others (few) a component with many members is
+    taken as a home: its members, in blocks, meet all other members of its buckets in tasks that hold two blocks of full sets
+    and give at most one link per visitor and block.  Every two members of the remaining small components are compared by
+    sketch, and confirmed.  So no link is lost by pairing with one member only, and the pairs inside or around a large
+    group of copies are never formed.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,9 @@ HASHES = 256
 BITS = 1024
 SIFT = 0.55  # estimated similarity below which a pair is not looked at: over five deviations under the threshold
 WORDS_KEPT = 600_000
+HOME_LEAST = 16  # members of a component in one bucket, and one in HOME_SHARE of the bucket, that make it a home
+HOME_SHARE = 8
+HOME_BLOCK, VISITOR_BLOCK = 128, 256
 COLUMNS = 1024
 
 _random = np.random.default_rng(20240101)
@@ -163,6 +169,76 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(possible).filter(enough).select("a", "b")
 
 
+def _meet(percent: int):
+    """Partition function for one block of a home and one of its visitors: each visitor's best link, if it has one."""
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        home, visitors = frame[~frame["visits"]], frame[frame["visits"]]
+        out = []
+        if len(home) and len(visitors):
+            sets = list(home["shingles"])
+            sizes = np.array([len(s) for s in sets])
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+            nodes = home["node"].to_numpy()
+            for node, shingles in zip(visitors["node"], visitors["shingles"]):
+                first, last = np.searchsorted(flat, shingles, "left"), np.searchsorted(flat, shingles, "right")
+                many = last - first
+                places = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                shared = np.bincount(owner[places], minlength=len(sets))
+                union = sizes + len(shingles) - shared
+                linked = np.nonzero(shared * 100 >= union * percent)[0]
+                if len(linked):
+                    out.append((node, nodes[linked[np.argmax(shared[linked] / union[linked])]]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return work
+
+
+def _homes(open_members: DataFrame) -> DataFrame:
+    """The large components of buckets: key, component."""
+    inside = open_members.groupBy("key", "component").count()
+    whole = inside.groupBy("key").agg(F.sum("count").alias("_all"))
+    large = inside.join(whole, "key").filter((F.col("count") >= HOME_LEAST) & (F.col("count") * HOME_SHARE >= F.col("_all")))
+    return stored(large.select("key", "component"), "home-buckets")
+
+
+def _open_pairs(open_members: DataFrame, limit: int) -> DataFrame:
+    """Pairs of members of one bucket, but of different components, whose sketches are near."""
+    left = open_members.select("key", F.col("node").alias("a"), F.col("component").alias("_ca"), F.col("sketch").alias("_a"))
+    right = open_members.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"), F.col("sketch").alias("_b"))
+    close = _apart(F.col("_a"), F.col("_b")) <= limit
+    near = left.join(right, (left["key"] == right["key"]) & (F.col("_ca") < F.col("_cb")) & close)
+    return near.select("a", "b").distinct()
+
+
+def _home_links(open_members: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the large components of buckets and the other members there."""
+    seated = open_members.select("key", "node", "component").join(large.withColumnRenamed("component", "home"), "key")
+    seated = seated.join(large.withColumn("_large", F.lit(True)), ["key", "component"], "left")
+    # Of two homes in one bucket, the members of the one with the larger id visit the other.
+    visits = (F.col("component") > F.col("home")) | (F.col("_large").isNull() & (F.col("component") != F.col("home")))
+    seated = seated.filter(visits | (F.col("component") == F.col("home"))).select("home", "node", visits.alias("visits"))
+    seated = stored(seated.distinct(), "home-members")
+    sizes = seated.groupBy("home").agg(
+        F.ceil(F.count_if(~F.col("visits")) / HOME_BLOCK).cast("int").alias("_blocks"),
+        F.ceil(F.count_if("visits") / VISITOR_BLOCK).cast("int").alias("_visitors"),
+    ).filter("_blocks > 0 AND _visitors > 0")
+    dealt = seated.join(sizes, "home")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("visits"), F.col("_visitors")).otherwise(F.col("_blocks"))).cast("int")
+    every = F.sequence(F.lit(0), F.when(F.col("visits"), F.col("_blocks")).otherwise(F.col("_visitors")) - 1)
+    dealt = dealt.select("home", "node", "visits", own.alias("_own"), F.explode(every).alias("_other"))
+    dealt = dealt.select(
+        "home", "node", "visits",
+        F.when(F.col("visits"), F.col("_other")).otherwise(F.col("_own")).alias("_block"),
+        F.when(F.col("visits"), F.col("_own")).otherwise(F.col("_other")).alias("_visitor"),
+    )
+    rows = dealt.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    links = rows.groupBy("home", "_block", "_visitor").applyInPandas(_meet(percent), "a long, b long")
+    return stored(links, "near-links")
+
+
 def _with_components(rows: DataFrame, column: str, name: str, found: DataFrame) -> DataFrame:
     named = found.select(F.col("node").alias(column), F.col("component").alias(name))
     return rows.join(named, column, "left").withColumn(name, F.coalesce(name, column))
@@ -205,29 +281,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nearest = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
     star = stored(star.withColumn("place", nearest), "star-pairs")
     links = stored(_confirmed(star.filter("place = 1").select("a", "b"), sets, percent), "near-links")
-    found = components(links)
-    others = _with_components(_with_components(star.filter("place > 1"), "a", "_ca", found), "b", "_cb", found)
-    others = others.filter("_ca <> _cb").select("a", "b")
-    links = links.unionByName(stored(_confirmed(others, sets, percent), "near-links"))
     found = stored(components(links), "near-components")
+    others = _with_components(_with_components(star.filter("place > 1"), "a", "_ca", found), "b", "_cb", found)
+    others = stored(others.filter("_ca <> _cb").select("a", "b"), "star-pairs")
+    if not others.isEmpty():
+        links = links.unionByName(stored(_confirmed(others, sets, percent), "near-links"))
+        found = stored(components(links), "near-components")
 
-    # Buckets that still hold several components: every two members of different ones.
+    # Buckets that still hold several components.
     placed = _with_components(shared, "node", "component", found)
     mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     mixed = mixed.filter("_low < _high").select("key")
     open_members = placed.join(mixed, "key").join(sketches, "node").select("key", "node", "component", "sketch")
     open_members = stored(open_members, "open-buckets")
-    left = open_members.select("key", F.col("node").alias("a"), F.col("component").alias("_ca"), F.col("sketch").alias("_a"))
-    right = open_members.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"), F.col("sketch").alias("_b"))
-    near = left.join(
-        right,
-        (left["key"] == right["key"])
-        & (F.col("_ca") < F.col("_cb"))
-        & (_apart(F.col("_a"), F.col("_b")) <= limit),
-    )
-    near = stored(near.select("a", "b").distinct(), "open-pairs")
-    links = links.unionByName(stored(_confirmed(near, sets, percent), "near-links"))
-    found = components(links)
+    large = _homes(open_members)
+    if not large.isEmpty():
+        links = links.unionByName(_home_links(open_members, large, sets, percent))
+        found = stored(components(links), "near-components")
+        open_members = open_members.join(large, ["key", "component"], "left_anti").drop("component")
+        open_members = stored(_with_components(open_members, "node", "component", found), "open-buckets")
+    near = stored(_open_pairs(open_members, limit), "open-pairs")
+    if not near.isEmpty():
+        links = links.unionByName(stored(_confirmed(near, sets, percent), "near-links"))
+        found = components(links)
 
     named = _with_components(classes.select("set_hash", "node", "n"), "node", "component", found)
     named = stored(named.select("set_hash", "component", "n"), "class-components")
