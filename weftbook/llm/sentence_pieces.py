@@ -123,10 +123,8 @@ class Vocabulary:
         by_place = np.lexsort((self.piece_sizes[rows], starts))
         return starts[by_place], self.piece_sizes[rows][by_place], self.piece_ids[rows][by_place]
 
-    def _finish(self, text: str, piece: int) -> list[int]:
-        """Ids of one part: its piece, or the bytes of a character without one."""
-        if piece >= 0:
-            return [piece]
+    def _finish(self, text: str) -> list[int]:
+        """Ids of one character: its piece, or the bytes of one without."""
         found = self.normal.get(text)
         if found is not None:
             return [found]
@@ -214,17 +212,24 @@ class Vocabulary:
         order = np.argsort(starts)
         starts, stops = starts[order], stops[order]
         width = stops - starts
-        pieces = np.where(width > 1, table[starts, width], -1).tolist()
-        ids: list[int] = []
-        behind = np.empty(len(starts) + 1, np.int64)
-        behind[0] = 0
-        for i, (s, p) in enumerate(zip(starts.tolist(), pieces)):
-            if p >= 0:
-                ids.append(p)
-            else:
-                ids += self._finish(joined[s], -1)
-            behind[i + 1] = len(ids)
-        flat = np.array(ids, np.uint32)
+        single = width == 1
+        pieces = table[starts, width]
+        # The ids of a single character: its piece, or its bytes.
+        characters, which = np.unique(codes[starts[single]], return_inverse=True)
+        found = [self._finish(chr(c)) for c in characters.tolist()]
+        own = np.zeros((len(found), max(map(len, found), default=1)), np.uint32)
+        many = np.array([len(f) for f in found], np.int64)
+        for row, f in enumerate(found):
+            own[row, : len(f)] = f
+        counts = np.ones(len(starts), np.int64)
+        counts[single] = many[which]
+        behind = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.empty(behind[-1], np.uint32)
+        flat[behind[:-1][~single]] = pieces[~single]
+        places = behind[:-1][single]
+        for i in range(own.shape[1]):
+            longer = many[which] > i
+            flat[places[longer] + i] = own[which[longer], i]
         borders = behind[np.searchsorted(starts, np.append(begins, len(codes)))]
         for i, segment in enumerate(segments):
             self.known[segment] = flat[borders[i] : borders[i + 1]]
