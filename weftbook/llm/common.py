@@ -9,6 +9,7 @@ from weftbook.session import run_folder
 
 # A key with at least this share of all rows is looked up by broadcast; at most HOT_KEYS keys can have it.
 HOT_KEYS = 1024
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +41,16 @@ def lookup_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     return popular.unionByName(rest)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; from here on the session hands Python BATCH_ROWS rows at a time, as rows hold whole texts.
+
+    A session that sets a size of its own keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":  # Spark's default
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftbook.llm.common import lookup_groups, stored, text_or_empty
+from weftbook.llm.common import lookup_groups, small_batches, stored, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 BUDGET_BYTES = 96 << 20
@@ -177,7 +177,7 @@ def _through_trie(budget: int, final: bool):
 def owners(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
     """One row per distinct normalised text: length, sha, keep_id and group_size."""
     bare = F.translate(text_or_empty(), BLANKS, "").cast("binary")
-    texts = docs.select(
+    texts = small_batches(docs).select(
         F.unhex(F.sha2(bare, 256)).alias("sha"),
         bare.alias("bytes"),
         F.char_length(text_or_empty()).cast("long").alias("chars"),

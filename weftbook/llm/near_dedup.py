@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftbook.llm.common import lookup_groups, stored
+from weftbook.llm.common import lookup_groups, small_batches, stored
 from weftbook.llm.components import components
 
 SHINGLE = 5
@@ -34,7 +34,7 @@ BANDS, ROWS = 32, 4
 HASHES = 256
 BITS = 1024
 SIFT = 0.55  # estimated similarity below which a pair is not looked at: over five deviations under the threshold
-WORDS_KEPT = 600_000
+WORDS_KEPT = 200_000
 HOME_LEAST = 16  # members of a component in one bucket, and one in HOME_SHARE of the bucket, that make it a home
 HOME_SHARE = 8
 HOME_BLOCK, VISITOR_BLOCK = 128, 256
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     not.  An empty table gives no rows.  Band keys miss a pair of similarity 0.75 with a probability of
     5 in a million, and less above.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = stored(texts.mapInArrow(_signatures, SIGNATURES), "signatures")
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(

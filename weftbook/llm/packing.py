@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftbook.llm.common import small_batches
+
 WAITING = 64
 WORDS_KEPT = 600_000
 CHUNK_CHARS = 3_000_000
@@ -233,7 +235,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
         packer.finish()
         yield from packer.take(1)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, SCHEMA)
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.mapInArrow(work, SCHEMA)
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftbook.llm.common import stored
+from weftbook.llm.common import small_batches, stored
 
 STEPS = 12
 RIDGE = 1e-3
@@ -93,7 +93,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def feature_rows(docs: DataFrame) -> DataFrame:
     """doc_id and the features of every row, stored once."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return stored(texts.mapInArrow(_featured, FEATURE_ROWS), "quality-features")
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftbook.llm.common import small_batches
+
 BLANK = "▁"
 SEGMENTS_KEPT = 400_000
 INDEX_CHARS = 600_000
@@ -304,9 +306,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                     )
                     first, chars = i + 1, 0
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        work, "doc_id long, ids binary"
-    )
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.mapInArrow(work, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
