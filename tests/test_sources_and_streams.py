@@ -194,6 +194,25 @@ def test_same_batch_twice(spark, tmp_path):
     assert ids(contact.latest_messages(spark, store)) == [11, 14, 15, 18, 19]
 
 
+def test_other_message_under_a_known_id_is_stored_as_rejected(spark, tmp_path):
+    store = str(tmp_path / "store")
+    contact.open_store(spark, store)
+    message = lambda text, at="2024-05-01 10:00:00", name="n": spark.createDataFrame(
+        [(5, name, "e", "s", text)], "id bigint, name string, email string, subject string, message string"
+    ).withColumn("created_at", F.expr(f"TIMESTAMP_NTZ'{at}'"))
+    turns = [("r", 0, message("one")), ("r", 1, message("two", "2024-05-02 10:00:00")), ("q", 0, message("two", "2024-05-02 10:00:00")),
+             ("q", 1, message("one", name=None)), ("q", 2, message("one"))]
+    for run, number, batch in turns:
+        for _ in range(2):
+            contact.store_batch(batch, number, store, run)
+            contact.refresh_inbox(batch, number, store, run)
+    found = sorted((r.outcome, r.message, r.name or "", r.reject_reason or "") for r in contact.stored_messages(spark, store).collect())
+    assert found == [("accepted", "one", "n", ""), ("rejected", "one", "", contact.CONFLICT), ("rejected", "two", "n", contact.CONFLICT)]
+    assert [r.message for r in contact.latest_messages(spark, store).collect()] == ["one"]
+    contact.store_batch(message("one", "2024-06-01 10:00:00"), 3, store, "q", stamped=True)  # the same message, stamped later
+    assert contact.stored_messages(spark, store).count() == 3
+
+
 def test_arrival_stamp(spark):
     plain = spark.range(1)
     assert contact.arrival_stamp(plain).first().created_at is not None

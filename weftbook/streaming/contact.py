@@ -3,7 +3,7 @@
 A store has two parts.  ``messages`` holds every message in a folder per run (one
 checkpoint is one run) and micro-batch.  A batch that is run again replaces its own folder,
 so a batch that failed half-way leaves no trace; a message that any other batch has stored,
-also of an earlier run over the same source, is recognised by id and not stored again.
+also of an earlier run over the same source, is recognised by id and fields and not stored again.
 ``inbox`` holds the latest few messages, merged batch by batch.
 """
 
@@ -68,8 +68,8 @@ def _elsewhere(run: str, part: str, number: int) -> Column:
     return (F.col("run") != run) | (F.col(part) != str(number))
 
 
-def _unseen(batch: DataFrame, run: str, number: int, store: str) -> DataFrame:
-    """Rows whose id no other batch has stored.
+def _stored_near(batch: DataFrame, store: str) -> DataFrame | None:
+    """The stored messages within the batch's range of ids, None for a batch without rows.
 
     Ids rise as messages arrive, so only files that reach into this batch's range of ids
     are read: the range goes to the file scan as a filter.
@@ -78,10 +78,26 @@ def _unseen(batch: DataFrame, run: str, number: int, store: str) -> DataFrame:
     borders = batch.agg(*[f(F.when(side, F.col("id"))) for side in sides.values() for f in (F.min, F.max)]).first()
     ranges = [(low, high) for low, high in zip(borders[::2], borders[1::2]) if low is not None]
     if not ranges:
-        return batch
+        return None
     inside = reduce(lambda a, b: a | b, [F.col("id").between(low, high) for low, high in ranges])
-    others = stored_messages(batch.sparkSession, store).where(_elsewhere(run, "batch", number) & inside)
-    return batch.join(others.select("id"), "id", "left_anti")
+    return stored_messages(batch.sparkSession, store).where(inside)
+
+
+def _join_same(batch: DataFrame, stored: DataFrame, how: str, stamped: bool) -> DataFrame:
+    """Join on the id and all fields; times that were stamped on arrival are no fields of a message."""
+    names = [c for c in MESSAGE.names if not (stamped and c == "created_at")]
+    stored = stored.select(*[F.col(c).alias(f"__{c}") for c in names])
+    return batch.join(stored, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]), how)
+
+
+def _unseen(batch: DataFrame, run: str, number: int, store: str, stamped: bool) -> DataFrame:
+    """Rows that no other batch has stored; ``__known`` marks those whose id another batch has stored with other fields."""
+    near = _stored_near(batch, store)
+    if near is None:
+        return batch.withColumn("__known", F.lit(False))
+    others = near.where(_elsewhere(run, "batch", number))
+    known = others.select("id").distinct().withColumn("__known", F.lit(True))
+    return _join_same(batch, others, "left_anti", stamped).join(known, "id", "left")
 
 
 def with_ids(messages: DataFrame) -> DataFrame:
@@ -98,16 +114,18 @@ def with_ids(messages: DataFrame) -> DataFrame:
     return messages.withColumn("id", F.coalesce("id", -(F.pmod(day, F.lit(32767)) * F.lit(1 << 48) + digest + 1)))
 
 
-def store_batch(batch: DataFrame, number: int, store: str, run: str) -> None:
+def store_batch(batch: DataFrame, number: int, store: str, run: str, stamped: bool = False) -> None:
     """Check, stamp and store one micro-batch; running it twice gives the same rows.
 
-    Of different messages under one id the first by its fields counts, the others are stored as rejected.
+    Of different messages under one id the one of the batch that came first counts, within a batch the first by its fields;
+    the others are stored as rejected.  ``stamped`` says that created_at is the moment of arrival, which does not tell messages apart.
     """
     fields = [c for c in MESSAGE.names if c != "id"]
     place = F.row_number().over(Window.partitionBy("id").orderBy("created_at", *[c for c in fields if c != "created_at"]))
     distinct = with_ids(batch).dropDuplicates(MESSAGE.names).withColumn("__place", place)
-    checked = check_messages(_unseen(distinct, run, number, store))
-    checked = checked.withColumn("reject_reason", F.when(F.col("__place") > 1, CONFLICT).otherwise(F.col("reject_reason")))
+    checked = check_messages(_unseen(distinct, run, number, store, stamped))
+    conflict = (F.col("__place") > 1) | F.coalesce("__known", F.lit(False))
+    checked = checked.withColumn("reject_reason", F.when(conflict, CONFLICT).otherwise(F.col("reject_reason")))
     outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
     (
         checked.select(*CHECKED.names, outcome.alias("outcome"))
@@ -131,14 +149,16 @@ def latest_messages(spark: SparkSession, store: str, n: int = INBOX_SIZE) -> Dat
     return _latest(_boxes(spark, store), n)
 
 
-def refresh_inbox(batch: DataFrame, number: int, store: str, run: str, n: int = INBOX_SIZE) -> None:
-    """Merge the latest ``n`` of this batch into the inbox.
+def refresh_inbox(batch: DataFrame, number: int, store: str, run: str, n: int = INBOX_SIZE, stamped: bool = False) -> None:
+    """Merge the latest ``n`` of this batch that the store holds as accepted into the inbox.
 
     Two boxes per run take turns: the one of the batch before is read while this one is
     replaced.  Merging the same messages again changes nothing.
     """
     box = number % 2
-    valid = check_messages(with_ids(batch)).where(F.col("reject_reason").isNull())
+    batch = with_ids(batch)
+    near = _stored_near(batch, store)
+    valid = batch if near is None else _join_same(batch, near.where(F.col("outcome") == "accepted"), "left_semi", stamped)
     before = _boxes(batch.sparkSession, store).where(_elsewhere(run, "box", box))
     (
         _latest(before.select(*MESSAGE.names).unionByName(_latest(valid, n)), n)
@@ -159,17 +179,19 @@ def start_intake(messages: DataFrame, store: str, checkpoint: str, inbox: bool =
     """Take in a stream of messages up to its present end.
 
     ``messages`` is a streaming frame with id, name, email, subject, message and
-    created_at; ``arrival_stamp`` adds the last where a source lacks it.
+    created_at; a source that lacks the last is given the moment of arrival here.
     """
     run = run_name(checkpoint)
+    stamped = "created_at" not in messages.columns
+    messages = arrival_stamp(messages)
     open_store(messages.sparkSession, store)
 
     def take(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            store_batch(batch, number, store, run)
+            store_batch(batch, number, store, run, stamped)
             if inbox:
-                refresh_inbox(batch, number, store, run)
+                refresh_inbox(batch, number, store, run, stamped=stamped)
         finally:
             batch.unpersist()
 
