@@ -88,3 +88,19 @@ def test_constant_text_of_a_host_is_dropped_without_article(spark):
     want = [(False, i, f"Story number {i}") for i in range(8)] + [(False, 20, "alone")] * 2 + [(True, None, "")]
     assert got == sorted(want, key=repr)
     assert w.extract(pages.filter("false")).count() == 0
+
+
+def test_copies_of_a_page_are_no_constant_text(spark):
+    story = "<div class=x>Same words</div><div class=y>One story</div>"
+    rows = [(i, "http://h/", story) for i in range(7)] + [(i, None, f"<!-- {i} -->{story}") for i in range(7, 14)]
+    found = w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in found] == ["Same words\nOne story"] * 14
+    known, other = w.Knowledge(), w.Knowledge()
+    for page in [story] * 9:
+        known.add_page(page)
+    for i in range(3):
+        other.add_page(f"<div class=x>Same words</div><div class=y>Story {i}</div>")
+    known.absorb(w.Knowledge.load(other.dump()))
+    assert "drop" not in known.roles().values()  # four different pages
+    known.add_page("<div class=x>Same words</div><div class=y>Story 3</div>")
+    assert known.roles() == {"div.x": "drop", "div.y": "other"}

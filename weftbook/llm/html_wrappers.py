@@ -296,7 +296,12 @@ class Knowledge:
         found = {}
         for (path, role), (text, linked) in texts.items():
             digest = hashlib.blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=12).hexdigest()
-            found[path] = [1, role, digest, len(text), linked]
+            found[path] = [1, role, digest, len(text), linked, []]
+        # Copies of one page count once, whatever their markup.
+        whole = hashlib.blake2b(json.dumps([(path, slot[2]) for path, slot in found.items()]).encode("utf-8", "replace"), digest_size=8).hexdigest()
+        for slot in found.values():
+            if slot[1] == "other":
+                slot[5] = [whole]
         # Streams that were met before teach the wrapper nothing.
         key = tuple(symbols)
         if key in self.seen:
@@ -310,21 +315,25 @@ class Knowledge:
         self.pages += pages
         if wrapper is not None and wrapper != self.wrapper:
             self.wrapper = wrapper if self.wrapper is None else merged(self.wrapper, wrapper)
-        for path, (n, role, text, chars, linked) in slots.items():
-            own = self.slots.setdefault(path, [0, role, text, 0, 0])
+        for path, (n, role, text, chars, linked, wholes) in slots.items():
+            own = self.slots.setdefault(path, [0, role, text, 0, 0, []])
             own[0] += n
             own[2] = text if own[2] == text else None
             own[3] += chars
             own[4] += linked
+            if wholes and own[2] is None:
+                own[5] = []
+            elif wholes and len(own[5]) < CONSTANT_PAGES:
+                own[5] = sorted({*own[5], *wholes})[:CONSTANT_PAGES]
 
     def absorb(self, other: Knowledge) -> None:
         self._take(other.pages, other.wrapper, other.slots)
 
     def roles(self) -> dict[str, str]:
-        """Role by path: other slots drop out if they are links, or the same text on every page."""
+        """Role by path: other slots drop out if they are links, or the same text on pages that differ elsewhere."""
         out = {}
-        for path, (n, role, text, chars, linked) in self.slots.items():
-            if role == "other" and (linked > LINK_SHARE * chars or (n >= CONSTANT_PAGES and text is not None)):
+        for path, (_, role, text, chars, linked, wholes) in self.slots.items():
+            if role == "other" and (linked > LINK_SHARE * chars or (len(wholes) >= CONSTANT_PAGES and text is not None)):
                 role = "drop"
             out[path] = role
         return out
@@ -447,7 +456,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Text inside article or main elements (or what is named like them) counts, without menus, headers, footers, sidebars, notices,
     adverts, forms, scripts, styles and comments; a page without such an element gives what is left of its body, less slots of links and
-    of text that is the same on all pages of the host.  White space within a block becomes one space, blocks are joined by
+    of text that stays the same over at least CONSTANT_PAGES pages of the host that differ elsewhere (copies count once).  White space within a block becomes one space, blocks are joined by
     a line feed, a line break inside a block is white space.  Null html is empty and gives an empty text; pages with a
     null or odd url form one host; repeated rows and null ids are rows like any other; an empty table gives no rows.
     """
