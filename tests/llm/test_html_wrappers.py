@@ -104,3 +104,30 @@ def test_copies_of_a_page_are_no_constant_text(spark):
     assert "drop" not in known.roles().values()  # four different pages
     known.add_page("<div class=x>Same words</div><div class=y>Story 3</div>")
     assert known.roles() == {"div.x": "drop", "div.y": "other"}
+
+
+def test_names_with_an_aside_word_drop_no_article_text():
+    article = """<article class="post comments-open" id="reply-to-all"><h2 id="related-work">Related work</h2><p>one</p><section id="discussion"><h3 class="t">Deep</h3>
+    <p>two</p></section><h2 id="search">Search</h2><div class="long-form">three</div><section id="notice-of-changes">four</section>
+    <div class="section" id="form">five</div><p id="alert">six</p><div id="social">seven</div>
+    <div class="related-posts">no</div><div class="ad ad-3">no</div><div id="comments">no</div><ul class="share-buttons"><li>no</ul>
+    <article id="comment-12">no</article></article>"""
+    assert text(article).split() == "Related work one Deep two Search three four five six seven".split()
+    assert text('<div class="long-form">kept</div><div id="site-nav">no</div><div class="sidebar-2">no</div>') == "kept"
+
+
+def test_figures_of_the_host_confirm_a_drop():
+    pages = [
+        f'<article><p>Story {i}</p><div class="promo-x"><b>Join</b><p>today</p></div><div class="ad-hoc">Text {i}</div><h2 id="form">Form</h2></article>'
+        for i in range(6)
+    ]
+    known = w.Knowledge()
+    for page in pages[:4]:
+        known.add_page(page)
+    assert w.main_text(pages[0], known.roles()) == "Story 0\nJoin\ntoday\nText 0\nForm"
+    for page in pages[4:]:
+        known.add_page(page)
+    assert w.main_text(pages[0], known.roles()) == "Story 0\nText 0\nForm"
+    linked = w.Knowledge()
+    linked.add_page('<article>words<div class="related-x"><a href=1>one</a> <a href=2>two</a></div></article>')
+    assert "drop" in linked.roles().values()

@@ -16,6 +16,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -53,6 +54,16 @@ ASIDE_NAMES = set(
     "respond reply replies discussion disqus share sharing social related recommended newsletter subscribe subscription "
     "widget widgets pagination pager paging toolbar topbar login signup search form".split()
 )
+# Names of which an aside name is one part: what may stand before it and what may follow it.
+BEFORE_NAMES = set("site page main primary secondary top bottom left right global post entry article mobile desktop div js c".split())
+AFTER_NAMES = set(
+    "container wrapper wrap box area list bar button buttons icon icons link links post posts article articles item items panel block section "
+    "inner left right top bottom slot unit title text message body author meta".split()
+)
+COMMENT_NAMES = {"comment", "comments", "reply", "replies", "respond"}
+# Inside a root an id is mostly the mark of a heading: these name asides, others need the host's figures.
+SURE_IDS = set("comments respond disqus disqus_thread sidebar navbar nav breadcrumb breadcrumbs pagination".split())
+ID_CARRIERS = set("div ul ol table".split())
 HEADER_NAMES = {"header", "site-header", "page-header", "top-header", "site_header", "page_header"}
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
@@ -66,27 +77,50 @@ FOLD = re.compile(f"(.{{1,{LONGEST_GROUP}}}?)\\1+", re.DOTALL)
 PAGE_TEXT = "page_id long, url string, text string, n_chars long"
 
 
+@lru_cache(10000)
+def aside_name(name: str) -> str:
+    """'sure' for a class or id that as a whole names an aside, 'likely' for one with such a word in it, else ''."""
+    words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+    if not ASIDE_NAMES & set(words) or {"has", "no", "with", "without", "layout"} & set(words):  # says what the page has
+        return ""
+    first = next(i for i, w in enumerate(words) if w not in BEFORE_NAMES)
+    last = next(i for i in range(first, len(words) + 1) if i == len(words) or words[i] not in ASIDE_NAMES)
+    return "sure" if last > first and all(w in AFTER_NAMES for w in words[last:]) else "likely"
+
+
 class Element:
-    __slots__ = ("name", "symbol", "drop", "root", "block")
+    """An open element.  What a ``weak`` one holds drops out only if the figures of its host say so."""
+
+    __slots__ = ("name", "symbol", "drop", "weak", "root", "block")
 
     def __init__(self, name: str, attributes: str, inside_root: bool):
         found = {}
         if attributes and "=" in attributes or "hidden" in attributes:
             for key, value in ATTRIBUTE.findall(attributes):
                 found.setdefault(key.lower(), entities.unescape(value.strip("\"'")))
-        names = [n.lower() for key in ("class", "id") for n in found.get(key, "").split()]
-        role = found.get("role", "").lower()
-        words = {w for n in names for w in re.split(r"[-_]+", n)} | set(names)
+        classes, ids = ([n.lower() for n in found.get(key, "").split()] for key in ("class", "id"))
+        names, role = {*classes, *ids}, found.get("role", "").lower()
         self.name, self.block = name, name in BLOCKS
-        self.symbol = re.sub(r"\d+", "0", ".".join([name, *sorted(set(names))]))
-        if words & {"has", "no", "with", "without", "layout"}:  # says what the page has, not what the element is
-            words = set()
-        header = name == "header" or bool(HEADER_NAMES & set(names))
-        self.drop = (
-            name in ASIDE_TAGS or bool(words & ASIDE_NAMES) or role in ASIDE_ROLES or (header and not inside_root)
-            or "hidden" in found or found.get("aria-hidden") == "true"
-        ) and name not in ("html", "body") and not (name in ROOTS and not words & {"comment", "comments", "reply", "respond"})
-        self.root = not self.drop and (name in ROOTS or role == "main" or bool(ROOT_NAMES & set(names)))
+        self.symbol = re.sub(r"\d+", "0", ".".join([name, *sorted(names)]))
+        header = name == "header" or bool(HEADER_NAMES & names)
+        self.weak = False
+        if name in ("html", "body"):
+            self.drop = False
+        elif name in ROOTS:
+            numbered = [n for n in ids if n[-1:].isdigit()]
+            self.drop = any(aside_name(n) == "sure" and COMMENT_NAMES & set(re.split(r"[-_]+", n)) for n in [*classes, *numbered])
+        else:
+            sure = {aside_name(n) for n in classes}
+            if not inside_root:
+                sure |= {aside_name(n) for n in ids}
+            elif name in ID_CARRIERS and "section" not in classes:
+                sure |= {"sure" if n in SURE_IDS else aside_name(n) and "likely" for n in ids}
+            self.drop = (
+                name in ASIDE_TAGS or "sure" in sure or role in ASIDE_ROLES or (header and not inside_root)
+                or "hidden" in found or found.get("aria-hidden") == "true"
+            )
+            self.weak = not self.drop and self.block and name != "p" and "likely" in sure
+        self.root = not self.drop and (name in ROOTS or role == "main" or bool(ROOT_NAMES & names))
 
 
 class Reader:
@@ -160,6 +194,15 @@ class Reader:
             return "drop"
         return "main" if any(e.root for e in self.open) else "other"
 
+    def slot(self) -> tuple[str, str]:
+        """Path and role of the slot; all text of a weak element is one slot."""
+        role = self.role()
+        if role != "drop":
+            for at, e in enumerate(self.open):
+                if e.weak:
+                    return " ".join(x.symbol for x in self.open[: at + 1] if x.block and x.name != "p" or x.root), "weak"
+        return self.path(), role
+
     def in_link(self) -> bool:
         return any(e.name == "a" for e in self.open)
 
@@ -286,7 +329,7 @@ class Knowledge:
                 if what.strip():
                     if symbols[-1:] != ["#"]:
                         symbols.append("#")
-                    parts = texts.setdefault((reader.path(), reader.role()), ["", 0])
+                    parts = texts.setdefault(reader.slot(), ["", 0])
                     parts[0] += " " + what
                     parts[1] += len(what) if reader.in_link() else 0
             elif kind == "start" and what.block:
@@ -300,7 +343,7 @@ class Knowledge:
         # Copies of one page count once, whatever their markup.
         whole = hashlib.blake2b(json.dumps([(path, slot[2]) for path, slot in found.items()]).encode("utf-8", "replace"), digest_size=8).hexdigest()
         for slot in found.values():
-            if slot[1] == "other":
+            if slot[1] in ("other", "weak"):
                 slot[5] = [whole]
         # Streams that were met before teach the wrapper nothing.
         key = tuple(symbols)
@@ -330,10 +373,10 @@ class Knowledge:
         self._take(other.pages, other.wrapper, other.slots)
 
     def roles(self) -> dict[str, str]:
-        """Role by path: other slots drop out if they are links, or the same text on pages that differ elsewhere."""
+        """Role by path: other and weak slots drop out if they are links, or the same text on pages that differ elsewhere."""
         out = {}
         for path, (_, role, text, chars, linked, wholes) in self.slots.items():
-            if role == "other" and (linked > LINK_SHARE * chars or (len(wholes) >= CONSTANT_PAGES and text is not None)):
+            if role in ("other", "weak") and (linked > LINK_SHARE * chars or (len(wholes) >= CONSTANT_PAGES and text is not None)):
                 role = "drop"
             out[path] = role
         return out
@@ -415,8 +458,8 @@ def main_text(page: str, roles: dict[str, str]) -> str:
     for kind, what in reader.events():
         if kind == "text":
             role = reader.role()
-            if role == "other":
-                role = roles.get(reader.path(), role)
+            if role == "other" or role == "main" and any(e.weak for e in reader.open):
+                role = "drop" if roles.get(reader.slot()[0]) == "drop" else role
             if role != "drop":
                 found[role][-1].append(what)
         elif kind == "start" and what.block or kind == "end" and what in BLOCKS or kind == "void" and what == "hr":
@@ -455,7 +498,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars; a row per row of ``pages`` (page_id, url, html).
 
     Text inside article or main elements (or what is named like them) counts, without menus, headers, footers, sidebars, notices,
-    adverts, forms, scripts, styles and comments; a page without such an element gives what is left of its body, less slots of links and
+    adverts, forms, scripts, styles and comments, known by element, role or a class or id that as a whole names one; an element with
+    such a word in a longer name (and inside a root any but a few ids, of lists and divisions only) drops out if its text is
+    links or stays the same as told below.  A page without such an element gives what is left of its body, less slots of links and
     of text that stays the same over at least CONSTANT_PAGES pages of the host that differ elsewhere (copies count once).  White space within a block becomes one space, blocks are joined by
     a line feed, a line break inside a block is white space.  Null html is empty and gives an empty text; pages with a
     null or odd url form one host; repeated rows and null ids are rows like any other; an empty table gives no rows.
