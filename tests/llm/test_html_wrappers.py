@@ -131,3 +131,21 @@ def test_figures_of_the_host_confirm_a_drop():
     linked = w.Knowledge()
     linked.add_page('<article>words<div class="related-x"><a href=1>one</a> <a href=2>two</a></div></article>')
     assert "drop" in linked.roles().values()
+
+
+def test_place_in_the_wrapper_decides(spark):
+    head, again = "<div class=x>Same words</div>", "<div class=z><h3>Printed</h3>again</div>"
+    rows = [(i, "http://h/", f"{head}{again if i % 2 else ''}<div class=y>Story {i}</div>") for i in range(14)] + [(14, "http://h/", None)]
+    found = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: ("Printed\nagain\n" if i % 2 else "") + f"Story {i}" for i in range(14)} | {14: ""}
+
+
+def test_fixed_slots():
+    wrapper = ["div.a", "h0", "#", "/h0", ["+", "p", "#", "/p"], ["?", "div.b", "#", "/div"], "/div", ["?", "ul"], ["+", "li", "#"], ["?", "/ul"], "#"]
+    assert w.fixed_slots(wrapper) == {"div.a h0", "div.a"}
+    unclosed = ["div.a", ["?", "/div"], "h0", "#", "/h0"]
+    assert w.fixed_slots(unclosed) == set()
+    known = w.Knowledge()
+    for n in (1, 3, 2):
+        known.add_page("<body>" + "<ul>" + "<li>x" * n + "</ul><p>a<table><tr><td>b<td>c</table>")
+    assert set(known.slots) == w.fixed_slots(known.wrapper) == {"body ul li", "body", "body table tr td"}

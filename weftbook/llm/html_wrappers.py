@@ -3,7 +3,7 @@
 A page becomes a stream of block tags and text slots.  Equal neighbours fold into repeated groups; the folded streams of a host are
 aligned one after another, and where they differ, a part becomes optional, or a single occurrence joins a repeated group.
 Text slots carry the elements they stand in and figures over all pages: how much text, how much of it is link text, and whether
-it never changes.  From these every slot of a host gets a role: main, other or drop.
+it never changes.  From these and from the slot's place in the wrapper (fixed or optional) every slot of a host gets a role: main, other or drop.
 
 Wrappers are merged like sums: first within a map task, then over groups of tasks, then per host, so that neither a host with a
 third of all pages nor many hosts meet in one task.  A second pass reads the pages again and keeps the text of main slots.
@@ -315,6 +315,47 @@ def written(wrapper: list) -> str:
     )
 
 
+def fixed_slots(wrapper: list) -> set[str]:
+    """Paths of the text slots that a wrapper holds outside optional groups.
+
+    An element that an optional group opens or closes makes all that stands in it optional.
+    """
+    fixed: set[str] = set()
+    stack: list[tuple[str, str, bool]] = []  # name, symbol, and whether every page has it here
+
+    def close(names: set[str], limit: set[str]) -> None:
+        for at in range(len(stack) - 1, -1, -1):
+            if stack[at][0] in names:
+                del stack[at:]
+                return
+            if stack[at][0] in limit:
+                return
+
+    def walk(items: list, sure: bool) -> None:
+        for item in items:
+            if isinstance(item, list):
+                before = list(stack)
+                walk(item[1:], sure and item[0] != "?")
+                if item[0] == "?" and stack != before:
+                    same = next((i for i, (a, b) in enumerate(zip(stack, before)) if a != b), min(len(stack), len(before)))
+                    changed = [x for x in before[same:] if x[2]] + stack[same:]
+                    stack[:] = before[:same] + [(name, symbol, False) for name, symbol, _ in changed]
+            elif item == "#":
+                if sure and all(known for _, _, known in stack):
+                    fixed.add(" ".join(symbol for _, symbol, _ in stack))
+            elif item[0] == "/":
+                close({re.sub(r"\d+", "0", item[1:])}, set())
+            else:
+                name = item.split(".", 1)[0]
+                if name in CLOSES_ITSELF:
+                    close(*CLOSES_ITSELF[name])
+                if name != "p":
+                    stack.append((name, item, sure))
+
+    walk(wrapper, True)
+    return fixed
+
+
 class Knowledge:
     """What is known of one host: pages, wrapper, and figures of its text slots by path."""
 
@@ -345,9 +386,9 @@ class Knowledge:
         for slot in found.values():
             if slot[1] in ("other", "weak"):
                 slot[5] = [whole]
-        # Streams that were met before teach the wrapper nothing.
+        # Streams that were met before teach the wrapper nothing, nor do pages without text.
         key = tuple(symbols)
-        if key in self.seen:
+        if key in self.seen or not found:
             self._take(1, None, found)
         else:
             if len(self.seen) < 5000:
@@ -373,11 +414,17 @@ class Knowledge:
         self._take(other.pages, other.wrapper, other.slots)
 
     def roles(self) -> dict[str, str]:
-        """Role by path: other and weak slots drop out if they are links, or the same text on pages that differ elsewhere."""
-        out = {}
+        """Role by path: other and weak slots drop out if they are links, or stand on a fixed place of the wrapper and never change.
+
+        The same text on an optional place may be a story that is printed again; it stays.
+        """
+        out, fixed = {}, fixed_slots(self.wrapper or [])
+        holders = {path[:at] for path in fixed for at, c in enumerate(path + " ") if c == " "}
         for path, (_, role, text, chars, linked, wholes) in self.slots.items():
-            if role in ("other", "weak") and (linked > LINK_SHARE * chars or (len(wholes) >= CONSTANT_PAGES and text is not None)):
-                role = "drop"
+            if role in ("other", "weak"):
+                constant = text is not None and len(wholes) >= CONSTANT_PAGES
+                if linked > LINK_SHARE * chars or (constant and path in (fixed if role == "other" else holders)):
+                    role = "drop"
             out[path] = role
         return out
 
@@ -501,7 +548,8 @@ def extract(pages: DataFrame) -> DataFrame:
     adverts, forms, scripts, styles and comments, known by element, role or a class or id that as a whole names one; an element with
     such a word in a longer name (and inside a root any but a few ids, of lists and divisions only) drops out if its text is
     links or stays the same as told below.  A page without such an element gives what is left of its body, less slots of links and
-    of text that stays the same over at least CONSTANT_PAGES pages of the host that differ elsewhere (copies count once).  White space within a block becomes one space, blocks are joined by
+    of text that stays the same over at least CONSTANT_PAGES pages of the host that differ elsewhere (copies count once) and stands on a fixed place of the
+    host's wrapper, that is on all its pages; on an optional place it stays.  White space within a block becomes one space, blocks are joined by
     a line feed, a line break inside a block is white space.  Null html is empty and gives an empty text; pages with a
     null or odd url form one host; repeated rows and null ids are rows like any other; an empty table gives no rows.
     """
