@@ -2,10 +2,16 @@
 
 Column expressions only, one pass without a shuffle.  A unit (a line, or the whole text) with m bigrams can reach Dice t with a
 template of n only if t / (2 - t) <= m / n <= (2 - t) / t; templates outside these bounds are never compared.
+
+Passages are runs of words that begin and end anywhere, over line ends too.  A run can reach t only if it holds t / (2 - t) * n of the
+template's bigrams, so only templates of which the whole text holds as many are sought; the best run begins and ends with a bigram
+of the template, so only runs between two such are compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,17 +53,86 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), 0)
 
 
+def _neighbours(found: Column) -> Column:
+    many = F.greatest(F.size(found) - 1, F.lit(0))
+    return F.zip_with(F.slice(found, F.lit(1), many), F.slice(found, F.lit(2), many), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def bigrams(found: Column) -> Column:
     """Distinct neighbouring pairs of a list of words."""
-    many = F.greatest(F.size(found) - 1, F.lit(0))
-    return F.array_distinct(
-        F.zip_with(F.slice(found, F.lit(1), many), F.slice(found, F.lit(2), many), lambda a, b: F.concat_ws(" ", a, b))
-    )
+    return F.array_distinct(_neighbours(found))
 
 
 def _template_column(templates: tuple[tuple[str, str], ...]) -> Column:
     return F.array(
-        *[F.struct(F.lit(name).alias("licence"), bigrams(words(F.lit(text))).alias("pairs")) for name, text in templates]
+        *[
+            F.struct(
+                F.lit(name).alias("licence"),
+                bigrams(words(F.lit(text))).alias("pairs"),
+                F.size(_neighbours(words(F.lit(text)))).alias("places"),
+            )
+            for name, text in templates
+        ]
+    )
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _passages(template: Column, found: Column, least: float) -> Column:
+    """Places of one template in the words of the lines that matched nothing: the best of runs that overlap, from left to right."""
+    low, high = least / (2 - least), (2 - least) / least
+    n = F.size(template["pairs"])
+    need, span = F.ceil(n * F.lit(low) - 1e-9).cast("int"), F.floor(template["places"] * F.lit(high) + 1e-9).cast("int")
+    gone = F.transform(found, lambda m: m["unit"])
+    rest = F.flatten(F.transform("lines", lambda line, i: F.when(F.array_contains(gone, i), F.array(F.lit("\n"))).otherwise(line)))
+    unit = F.flatten(
+        F.transform("lines", lambda line, i: F.array_repeat(i, F.when(F.array_contains(gone, i), F.lit(1)).otherwise(F.size(line))))
+    )
+
+    def scored(pairs: Column, first: Column, last: Column) -> Column:
+        less = _let(
+            F.array_distinct(F.slice(pairs, first + 1, last - first + 1)),
+            lambda run: F.lit(-2.0) * F.size(F.array_intersect(run, template["pairs"])) / (F.size(run) + n),
+        )
+        return F.struct(less.alias("less"), first.alias("first"), last.alias("last"))
+
+    def runs(pairs: Column, hits: Column) -> Column:
+        def from_hit(first: Column, k: Column) -> Column:
+            ends = F.when(F.get(hits, k + need - 1) - first < span, F.slice(hits, k + need, span)).otherwise(F.slice(hits, 1, 0))
+            return F.transform(F.filter(ends, lambda last: last - first < span), lambda last: scored(pairs, first, last))
+
+        return F.filter(F.flatten(F.transform(hits, from_hit)), lambda r: r["less"] <= -least)
+
+    def best(all_runs: Column) -> Column:
+        # The last place may still be bettered; a run behind it opens the next.
+        def step(places: Column, run: Column) -> Column:
+            last = F.get(places, F.size(places) - 1)
+            better = F.concat(F.slice(places, F.lit(1), F.size(places) - 1), F.array(run))
+            opened = F.concat(places, F.array(run))
+            return (
+                F.when((F.size(places) == 0) | (run["first"] > last["last"]), opened)
+                .when(run["less"] < last["less"], better)
+                .otherwise(places)
+            )
+
+        return F.aggregate(all_runs, F.slice(all_runs, 1, 0), step)
+
+    def sought(pairs: Column) -> Column:
+        hits = F.filter(
+            F.transform(pairs, lambda pair, i: F.when(F.array_contains(template["pairs"], pair), i)), lambda i: i.isNotNull()
+        )
+        return _let(hits, lambda h: _let(runs(pairs, h), best))
+
+    places = _let(rest, lambda w: _let(_neighbours(w), sought))
+    return _let(
+        unit,
+        lambda u: F.transform(
+            places,
+            lambda r: F.struct(r["less"].alias("less"), F.get(u, r["first"]).alias("unit"), template["licence"].alias("licence")),
+        ),
     )
 
 
@@ -65,7 +140,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
     """Per row of ``docs`` (doc_id, text): n_units, n_matches, licence, dice, unit and all matches.
 
     Units are the lines of a text, numbered from 0, and the whole text (number -1) if it has more than one line; units without
-    two words are no units.  licence, dice and unit are those of the best match (highest Dice, then first unit, then
+    two words are no units.  Besides, passages of the lines that match nothing are matches, under the line in which they
+    begin: a notice wrapped over lines, or within a longer line; not of a licence that the whole text matches.  licence, dice and unit are those of the best match (highest Dice, then first unit, then
     licence name) and null without one.  Null and empty texts have no unit; repeated rows and null ids are rows
     like any other; other columns are ignored; an empty table gives no rows.
     """
@@ -92,11 +168,32 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
         )
         return F.filter(scored, lambda m: m["less"] <= -least)
 
+    def within(pairs: Column) -> Column:
+        """Templates that may stand somewhere in a text with these bigrams."""
+        known = F.array_distinct(F.flatten(F.transform("templates", lambda t: t["pairs"])))
+        return _let(
+            F.array_intersect(pairs, known),
+            lambda held: F.filter(
+                "templates", lambda t: F.size(F.array_intersect(held, t["pairs"])) >= F.size(t["pairs"]) * F.lit(low) - F.lit(1e-9)
+            ),
+        )
+
+    whole_found = F.transform(F.filter("found", lambda m: m["unit"] == WHOLE), lambda m: m["licence"])
+    more = F.flatten(
+        F.transform(
+            F.filter("within", lambda t: ~F.array_contains(whole_found, t["licence"])), lambda t: _passages(t, F.col("found"), least)
+        )
+    )
     return (
         docs.select(F.col("doc_id").cast("long"), lines.alias("lines"))
-        .select("doc_id", F.concat(single, whole).alias("units"), _template_column(templates).alias("templates"))
+        .select("doc_id", "lines", F.concat(single, whole).alias("units"), _template_column(templates).alias("templates"))
+        .withColumn("within", within(F.element_at("units", -1)["pairs"]))
         .withColumn("units", F.filter("units", lambda u: F.size(u["pairs"]) > 0))
-        .select("doc_id", F.size("units").cast("long").alias("n_units"), F.flatten(F.transform("units", against)).alias("found"))
+        .select(
+            "doc_id", "lines", "within", F.size("units").cast("long").alias("n_units"),
+            F.flatten(F.transform("units", against)).alias("found"),
+        )
+        .select("doc_id", "n_units", F.concat("found", more).alias("found"))
         .withColumn("best", F.array_min("found"))
         .select(
             "doc_id",
@@ -117,7 +214,7 @@ def _quoted(text: str) -> str:
 
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = DICE) -> str:
-    """The scan's figures per document in DuckDB SQL."""
+    """The scan's figures per document in DuckDB SQL, by lines and whole texts only: passages are not in it."""
     pairs = "list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])"
     cut = {x: f"regexp_extract_all(translate({x}, '{UPPER}', '{LOWER}'), '{WORDS}')" for x in ("t", "x", "line")}
     values = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in templates)
