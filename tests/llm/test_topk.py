@@ -35,6 +35,14 @@ def test_ties_repeats_and_odd_rows(spark, group):
     assert sorted(tuple(r) for r in found.collect()) == brute(rows, 50, 5)
 
 
+def test_queries_that_are_no_rows_of_the_table(spark):
+    row = lambda first, value: [(first + i, [value + i, 1]) for i in range(12)]
+    queries = spark.createDataFrame(row(1000, 5000), "vec_id long, v array<bigint>")
+    vectors = spark.createDataFrame(row(0, 1), "vec_id long, v array<bigint>")
+    found = sorted(tuple(r) for r in topk.top_k(vectors, queries, 3).collect())
+    assert found == [(1000 + q, rank, 12 - rank, (5000 + q) * (13 - rank) + 1) for q in range(12) for rank in (1, 2, 3)]
+
+
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(2**20 + i), float(-(2**20) * (i % 3))]) for i in range(60)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -138,12 +138,13 @@ def _first_thresholds(ids: np.ndarray, matrix: np.ndarray, k: int) -> np.ndarray
     return best.least
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, group: int = QUERY_GROUP) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, group: int = QUERY_GROUP, among: bool = False) -> DataFrame:
     """The k highest integer inner products of every query: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
     Both inputs: vec_id, v (array<bigint>), as ``integer_vectors`` gives.  A query never meets rows of its own vec_id, and
     only vectors with as many components are scored.  Rows with equal vec_id and equal score count once; so repeated rows
-    change nothing.  Fewer than k candidates give fewer rows; an empty table gives none.  Scores must fit 64 bits.
+    change nothing.  ``among`` says that every query is a row of ``vectors`` too, so that scores among the queries are first
+    thresholds; without it none are taken for granted.  Fewer than k candidates give fewer rows; an empty table gives none.  Scores must fit 64 bits.
     """
     spark = vectors.sparkSession
     groups = max(1, -(-queries.count() // group))
@@ -153,7 +154,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, group: int = QUERY
         rows = members.collect()  # about ``group`` rows
         sizes = _matrices([r.vec_id for r in rows], [r.v for r in rows])
         asked = spark.sparkContext.broadcast(
-            {n: (ids, matrix, _first_thresholds(ids, matrix, k)) for n, (ids, matrix) in sizes.items()}
+            {n: (ids, m, _first_thresholds(ids, m, k) if among else Best(ids, m, k).least) for n, (ids, m) in sizes.items()}
         )
 
         def work(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
@@ -181,4 +182,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, group: int = QUERY
 def top_k_every(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """``top_k`` with the rows whose vec_id is divisible by ``every`` as queries, against all rows."""
     vectors = stored(integer_vectors(embeddings), "integer-vectors")
-    return top_k(vectors, vectors.filter(F.col("vec_id") % every == 0), k)
+    return top_k(vectors, vectors.filter(F.col("vec_id") % every == 0), k, among=True)
