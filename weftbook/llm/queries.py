@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftbook.llm import (
+    byte_pairs,
     exact_dedup,
     html_wrappers,
     licences,
@@ -62,6 +63,11 @@ def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_pairs.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_suffix_pieces": op1_suffix_pieces,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -73,6 +79,7 @@ QUERIES = {
     "op8_segment_search": op8_segment_search,
     "op9_odd_sketches": op9_odd_sketches,
     "op10_differencing_shards": op10_differencing_shards,
+    "op11_merge_replay": op11_merge_replay,
 }
 
 ORACLE: dict[str, str] = {
