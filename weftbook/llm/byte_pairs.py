@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HELD_CHARS = 8_000_000  # texts whose new words are merged together
+HELD_CHARS = 12_000_000  # texts whose new words are merged together
 REPLAY_BYTES = 2 << 20
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 112 << 20
 LONG = 64  # segments with more characters are not remembered
 CHUNK_CHARS = 1_000_000
 NONE = np.int64(1) << 62

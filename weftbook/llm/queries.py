@@ -12,6 +12,7 @@ from weftbook.llm import (
     licences,
     near_dedup,
     packing,
+    periodic_runs,
     quality,
     sentence_pieces,
     sharding,
@@ -68,6 +69,11 @@ def op11_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_repeats(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
 QUERIES = {
     "op1_suffix_pieces": op1_suffix_pieces,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -80,6 +86,7 @@ QUERIES = {
     "op9_odd_sketches": op9_odd_sketches,
     "op10_differencing_shards": op10_differencing_shards,
     "op11_merge_replay": op11_merge_replay,
+    "op13_suffix_tree_runs": op13_suffix_tree_runs,
 }
 
 ORACLE: dict[str, str] = {
