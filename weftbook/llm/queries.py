@@ -12,6 +12,7 @@ from weftbook.llm import (
     licences,
     near_dedup,
     packing,
+    pair_bitmaps,
     periodic_runs,
     quality,
     sentence_pieces,
@@ -69,6 +70,12 @@ def op11_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return pair_bitmaps.alignment_digests(docs, *paths)
+
+
 def op13_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_repeats(table(spark, sf_dir, "documents"))
     return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
@@ -86,6 +93,7 @@ QUERIES = {
     "op9_odd_sketches": op9_odd_sketches,
     "op10_differencing_shards": op10_differencing_shards,
     "op11_merge_replay": op11_merge_replay,
+    "op12_pair_bitmaps": op12_pair_bitmaps,
     "op13_suffix_tree_runs": op13_suffix_tree_runs,
 }
 
