@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftbook.llm.common import text_runs
+
 HELD_CHARS = 12_000_000  # texts whose new words are merged together
 REPLAY_BYTES = 2 << 20
 KEPT_BYTES = 112 << 20
@@ -43,33 +45,21 @@ def segments(text: str) -> list[str]:
     return CUT.split(text) if ODD_BLANK.search(text) else text.split(" ")
 
 
-def runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts (null: empty), the first two columns, in runs of about ``size`` characters."""
-    docs, texts, chars = [], [], 0
-    for batch in batches:
-        for doc, text in zip(*batch.columns[:2]):
-            docs.append(doc.as_py())
-            texts.append(text.as_py() or "")
-            chars += len(texts[-1])
-            if chars >= size:
-                yield docs, texts
-                docs, texts, chars = [], [], 0
-    if docs:
-        yield docs, texts
-
-
 class ByteVocabulary:
-    """The ranks of a vocabulary file and the ids of segments met so far."""
+    """The ranks of a vocabulary file and the ids of segments met so far; without a pattern it can only decode."""
 
-    def __init__(self, path: str, pattern: str):
-        import regex
-
-        self.pattern = regex.compile(pattern)
+    def __init__(self, path: str, pattern: str = ""):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
+        self.forget()
+        if not pattern:
+            return
+        import regex
+
+        self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         # Every way in which two tokens make a third, once by the left and once by the right one.
         ways = np.array(
@@ -92,7 +82,6 @@ class ByteVocabulary:
             np.minimum.at(lowest, ways[:, own], ways[:, 2])
         # Tokens that no merge of a smaller rank can take up: all their pairs in a word can be merged at once.
         self.settled = (lowest > size[:-1]).tolist()
-        self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, bytes] = {}
@@ -265,7 +254,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks, pattern)
-        for ids, texts in runs(batches, HELD_CHARS):
+        for ids, texts in text_runs(batches, HELD_CHARS):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(words.encode(texts), pa.binary())], schema=ENCODED
             )
@@ -274,11 +263,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return texts.mapInArrow(work, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str = "") -> DataFrame:
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """doc_id, ids and the bytes that the ids stand for, column ``decoded``; null ids give no bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(ranks, pattern)
+        words = vocabulary(ranks, "")
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -291,7 +280,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str = "") -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Encode and decode: doc_id, n_tokens, ids_sha256 and decoded_sha256 (lowercase hex of the ids' and the texts' bytes)."""
-    return decode(encode(docs, ranks, pattern), ranks, pattern).select(
+    return decode(encode(docs, ranks, pattern), ranks).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

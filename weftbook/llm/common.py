@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,5 +55,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def text_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts (null: empty), the first two columns, in runs of about ``size`` characters."""
+    docs, texts, chars = [], [], 0
+    for batch in batches:
+        for doc, text in zip(*batch.columns[:2]):
+            docs.append(doc.as_py())
+            texts.append(text.as_py() or "")
+            chars += len(texts[-1])
+            if chars >= size:
+                yield docs, texts
+                docs, texts, chars = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

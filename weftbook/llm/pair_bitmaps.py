@@ -17,6 +17,8 @@ document, whose postings are its distinct pairs.  A pair has one row per contain
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftbook.llm.byte_pairs import runs as text_runs
-from weftbook.llm.common import stored
+from weftbook.llm.common import stored, text_runs
 
 SLOTS = 4096
-ENTRIES = 600_000
+ENTRIES = 400_000
 CHUNK_CHARS = 1_000_000
-LEARN_CHARS = 500_000
-KEPT_BYTES = 160 << 20
+LEARN_CHARS = 250_000
+KEPT_BYTES = 96 << 20
 LONG = 64  # segments with more characters are not remembered
 BLANK = "▁"
 CONTAINER_BITS = 32
@@ -46,11 +47,11 @@ ODD_BLANK = re.compile(r" (?:\s|\Z)")
 
 INDEX = pa.schema(
     [("container", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
-     ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.binary()), ("pair", pa.int64()),
+     ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.binary()), ("pair", pa.int64()),
      ("documents", pa.int64()), ("links", pa.int64()), ("planes", pa.binary())]
 )
 SCHEMA = (
-    "container long, slot int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups binary, "
+    "container long, slot int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups binary, "
     "pair long, documents long, links long, planes binary"
 )
 SCORES = pa.schema([("container", pa.int64()), ("slot", pa.int32()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
@@ -74,6 +75,7 @@ class Aligner:
     """Two vocabularies, and the alignments of the segments met so far, numbered."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -122,7 +124,7 @@ class Aligner:
         a = np.array([i for ids in a_ids for i in ids], np.int64)
         b = np.array([i for ids in b_ids for i in ids], np.int64)
         a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        common = np.intersect1d(a_end, b_end)
+        common = a_end[np.isin(a_end, b_end, assume_unique=True)]
         a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
         a_segment = np.repeat(np.arange(len(new)), counts[:, 0])
         # The last token of a group ends where the group does; each group is of one segment.
@@ -289,12 +291,12 @@ def _aligner(a: str, b: str) -> Aligner:
 
 
 def build_index(
-    docs: DataFrame, byte_vocabulary: str, piece_model: str, slots: int = SLOTS, entries: int = ENTRIES
+    docs: DataFrame, byte_vocabulary: str, piece_model: str, slots: int = SLOTS, entries: int = ENTRIES, keep_groups: bool = True
 ) -> DataFrame:
     """The stored index of ``docs`` (doc_id, text; others are ignored); see ``alignments`` and ``postings`` for its two parts.
 
     ``byte_vocabulary`` and ``piece_model``: paths of the two vocabularies, which all executors have; ``slots`` (at most SLOTS) and
-    ``entries``: documents and postings that close a container.  Texts that are null or empty, or
+    ``entries``: documents and postings that close a container; ``keep_groups``: whether the groups' texts are stored beside their digests.  Texts that are null or empty, or
     whose tokens on either side are not the bytes of a blank and the text, have no tokens.  Repeated rows and null doc_ids are
     documents like any other; an empty table gives no rows.
     """
@@ -322,7 +324,8 @@ def build_index(
                         container.add(np.concatenate(held))
                         held, weight = [], 0
                 groups = b";".join([aligner.groups[n] for n in numbers])
-                rows.append((container.number, slot, doc, *counts.tolist(), n_links, groups))
+                digest = hashlib.sha256(groups).hexdigest() if n_links else ""
+                rows.append((container.number, slot, doc, *counts.tolist(), n_links, digest, groups if keep_groups else None))
                 if container.slot == slots or container.entries >= entries:
                     if held:
                         container.add(np.concatenate(held))
@@ -332,7 +335,7 @@ def build_index(
             if held:
                 container.add(np.concatenate(held))
             aligner.release()
-            names = INDEX.names[:8]
+            names = INDEX.names[:9]
             columns = {n: pa.array(c, INDEX.field(n).type) for n, c in zip(names, zip(*rows))}
             yield _record(columns, len(rows))
         yield from container.postings()
@@ -342,12 +345,12 @@ def build_index(
 
 
 def alignments(index: DataFrame) -> DataFrame:
-    """Per document container, slot, doc_id, n_a, n_b, n_groups, n_links and groups.
+    """Per document container, slot, doc_id, n_a, n_b, n_groups, n_links, groups_sha256 ('' without tokens) and groups.
 
     ``groups``: ids of both sides between byte offsets where tokens of both end, as ``a1,a2|b1;a3|b2,b3``; empty without tokens.
     """
     return index.filter("slot is not null").select(
-        "container", "slot", "doc_id", "n_a", "n_b", "n_groups", "n_links", F.col("groups").cast("string")
+        "container", "slot", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", F.col("groups").cast("string")
     )
 
 
@@ -410,9 +413,8 @@ def with_scores(rows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def alignment_digests(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
-    """The numbers of ``align`` per document, with a SHA-256 of the groups in their place ('' without tokens)."""
-    index = build_index(docs, byte_vocabulary, piece_model)
-    rows = alignments(index).withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(""))
-    return with_scores(rows.drop("groups"), index).select(
+    """The numbers of ``align`` per document, with the SHA-256 of the groups in their place ('' without tokens)."""
+    index = build_index(docs, byte_vocabulary, piece_model, keep_groups=False)
+    return with_scores(alignments(index).drop("groups"), index).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )

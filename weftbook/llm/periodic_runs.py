@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftbook.llm.byte_pairs import runs as text_runs
+from weftbook.llm.common import text_runs
 
 LEAST = 12
 SHINGLE = 6  # LEAST // 2: see above
