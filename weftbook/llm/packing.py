@@ -11,6 +11,7 @@ Nothing is shuffled and a worker holds at most one bin per class and WAITING gap
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftbook.llm.common import small_batches
+from weftbook.llm.common import small_batches, text_runs
 
 WAITING = 64
-WORDS_KEPT = 600_000
-CHUNK_CHARS = 3_000_000
+KEPT_BYTES = 112 << 20
+LONG = 64  # words with more bytes are not remembered
+LEARN_WORDS = 50_000
+CHUNK_CHARS = 2_000_000
 SEQUENCE_BITS = 40
 
 # Words made of these characters only are lower-cased and split here: all of them are their own composed form, none is
@@ -40,83 +43,71 @@ ARROW = pa.schema(
 )
 
 
-class _Numbers(dict):
-    """Gives each new word the next number and remembers it as fresh."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word):
-        number = self[word] = len(self)
-        self.fresh.append(word)
-        return number
-
-
 class WordTokenizer:
     """The vocabulary's ids of whole texts, computed once per distinct white-space separated word.
 
-    The pre-tokeniser never joins characters across white space, so a text's ids are those of its words in turn.
+    The pre-tokeniser never joins characters across white space, so a text's ids are those of its words in turn.  Words used
+    lately are remembered in two generations of KEPT_BYTES each; long words are not.
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.end_id = end_id
-        self._clear()
+        self.end = np.array([end_id], "<u4").tobytes()
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.kept = 0
 
-    def _clear(self) -> None:
-        self.numbers = _Numbers()
-        self.numbers[None] = 0  # the end mark of every document
-        self.pieces: dict[str, list[int]] = {}
-        self.flat = np.array([self.end_id], np.uint32)
-        self.starts, self.lengths = np.array([0]), np.array([1])
+    def _remember(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.kept += 170 + len(word) + len(ids)
 
     def _learn(self, words: list[bytes]) -> None:
         """Add the ids of new words."""
         texts = [w.decode() for w in words]
         plain = [PRE_TOKENS.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        new = list(dict.fromkeys(p for parts in plain if parts for p in parts if p not in self.pieces))
-        for piece, found in zip(new, self.bare.encode_batch(new, add_special_tokens=False)):
-            self.pieces[piece] = found.ids
+        new = list({p for parts in plain if parts for p in parts})
+        pieces = {p: e.ids for p, e in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False))}
         other = [t for t, parts in zip(texts, plain) if parts is None]
-        rest = iter(self.whole.encode_batch(other, add_special_tokens=False))
+        rest = iter(self.whole.encode_batch_fast(other, add_special_tokens=False))
         ids: list[int] = []
-        lengths = []
+        ends = []
         for parts in plain:
-            before = len(ids)
             if parts is None:
                 ids += next(rest).ids
             else:
                 for piece in parts:
-                    ids += self.pieces[piece]
-            lengths.append(len(ids) - before)
-        lengths = np.array(lengths, np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+                    ids += pieces[piece]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        for word, start, end in zip(words, [0, *ends], ends):
+            self._remember(word, raw[start:end])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, closed by the end id."""
-        if len(self.numbers) > WORDS_KEPT:
-            self._clear()
-        words: list = []
-        ends = []
-        for text in texts:
-            words += text.encode().split()
-            words.append(None)
-            ends.append(len(words))
-        found = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if self.numbers.fresh:
-            self._learn(self.numbers.fresh)
-            self.numbers.fresh = []
-        lengths = self.lengths[found]
-        behind = np.cumsum(lengths)
-        places = np.repeat(self.starts[found] - (behind - lengths), lengths) + np.arange(behind[-1])
-        return np.split(self.flat[places], behind[np.array(ends) - 1][:-1])
+        if self.kept > KEPT_BYTES:
+            self.known, self.older, self.kept = {}, self.known, 0
+        split = [t.encode().split() for t in texts]
+        fresh = set().union(*split).difference(self.known)
+        new = []
+        for word in fresh:
+            ids = self.older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self._remember(word, ids)
+        for at in range(0, len(new), LEARN_WORDS):
+            self._learn(new[at : at + LEARN_WORDS])
+        known = self.known
+        out = [np.frombuffer(b"".join([known[w] for w in words]) + self.end, "<u4") for words in split]
+        for word in fresh:
+            if len(word) > LONG:
+                self.kept -= 170 + len(word) + len(known.pop(word))
+        return out
 
 
 _loaded: dict[tuple[str, int], WordTokenizer] = {}
@@ -128,16 +119,6 @@ def _tokenizer(path: str, end_id: int) -> WordTokenizer:
     return _loaded[path, end_id]
 
 
-def _chunks(docs: list[int | None], texts: list[str | None]) -> Iterator[tuple[list, list[str]]]:
-    """Documents in runs of about CHUNK_CHARS characters."""
-    first, chars = 0, 0
-    for i, text in enumerate(texts):
-        chars += len(text or "")
-        if chars >= CHUNK_CHARS or i == len(texts) - 1:
-            yield docs[first : i + 1], [t or "" for t in texts[first : i + 1]]
-            first, chars = i + 1, 0
-
-
 class HarmonicPacker:
     """One worker's bins.  A piece is (doc, start, ids, ids of the document); closed sequences go to ``rows``."""
 
@@ -227,11 +208,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
 
         words = _tokenizer(tokenizer, end_id)
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId())
-        for batch in batches:
-            for ids, texts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for doc, tokens in zip(ids, words.encode(texts)):
-                    packer.add(doc, tokens)
-                yield from packer.take(4000)
+        for ids, texts in text_runs(batches, CHUNK_CHARS):
+            for doc, tokens in zip(ids, words.encode(texts)):
+                packer.add(doc, tokens)
+            yield from packer.take(4000)
         packer.finish()
         yield from packer.take(1)
 
