@@ -65,3 +65,13 @@ def test_trie_counts_every_text_once(texts, budget):
     assert not set(final) & set(spilled)
     assert final or not texts
     assert final | spilled == {t: (texts.count(t), texts.index(t)) for t in set(texts)}
+
+
+def test_dropped_copies_with_null_and_repeated_ids(spark):
+    rows = [
+        (5, "a longer original text"), (None, "alonger original text"), (None, "another text"), (7, "x y"), (8, "xy"),
+        (8, "unrelated words here"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {tuple(r) for r in exact_dedup.drop_copies(docs).collect()}
+    assert kept == {(5, "a longer original text"), (None, "another text"), (7, "x y"), (8, "unrelated words here")}

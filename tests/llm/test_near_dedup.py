@@ -109,3 +109,18 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.component for r in components(frame).collect()}
     assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(50)} | {59: 59, 60: 59}
     assert components(frame.filter("false")).count() == 0
+
+
+def test_dropped_copies_with_null_and_repeated_ids(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, base), (9, base + " "), (9, "other words of the same number nine"), (None, base), (None, "x"), (5, "y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {tuple(r) for r in near_dedup.drop_near_copies(docs).collect()}
+    assert kept == set(rows) - {(9, base + " ")}
+
+
+def test_low_similarities_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 50)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from weftbook.llm.common import lookup_groups, small_batches, stored, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
-BUDGET_BYTES = 96 << 20
+NODE_BYTES = 500  # what Python holds for a node beside its label
+BUDGET_BYTES = 128 << 20
 NO_ID = (1 << 63) - 1
 
 PARTIAL = "length long, sha binary, bytes binary, chars long, keep_id long, n long, spilled boolean"
@@ -86,7 +87,7 @@ class PatriciaTrie:
             child = node.children.get(text[at])
             if child is None:
                 node.children[text[at]] = Node(text[at:], owner)
-                self.held += len(text) - at + 64
+                self.held += len(text) - at + NODE_BYTES
                 if self.held > self.budget:
                     self._spill()
                 return
@@ -96,7 +97,7 @@ class PatriciaTrie:
                 child.label = child.label[shared:]
                 upper.children[child.label[0]] = child
                 node.children[text[at]] = child = upper
-                self.held += 64
+                self.held += NODE_BYTES
             node, at = child, at + shared
         self.overflow.append((text, owner))
 
@@ -109,7 +110,7 @@ class PatriciaTrie:
             stack += node.children.values()
         sizes: dict[int, int] = {}
         for node in reversed(order):
-            sizes[id(node)] = len(node.label) + 64 + sum(sizes[id(c)] for c in node.children.values())
+            sizes[id(node)] = len(node.label) + NODE_BYTES + sum(sizes[id(c)] for c in node.children.values())
         return sizes
 
     def _spill(self) -> None:
@@ -130,7 +131,7 @@ class PatriciaTrie:
             node = max(node.children.values(), key=lambda c: sizes[id(c)])
         self.overflow += self.terminals(node, path)
         # No other string has this path's next byte, so one byte of label is enough for what stays.
-        self.held -= sizes[id(node)] - 65
+        self.held -= sizes[id(node)] - NODE_BYTES - 1
         node.label, node.children, node.owner, node.spilled = node.label[:1], {}, None, True
 
     def terminals(self, top: Node | None = None, path: bytes = b"") -> Iterator[tuple[bytes, Owner]]:
@@ -163,7 +164,8 @@ def _through_trie(budget: int, final: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(budget)
         for batch in batches:
-            for sha, text, chars, doc, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*batch.columns):  # one row in Python at a time: texts can be long
+                sha, text, chars, doc, n = (value.as_py() for value in row)
                 trie.insert(text, Owner(sha, chars, doc, n))
             if trie.overflow:
                 done, trie.overflow = trie.overflow, []
@@ -221,6 +223,9 @@ def exact_dedup(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps."""
-    kept = exact_dedup(docs, budget).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps (known by doc_id and normalised text)."""
+    kept = exact_dedup(docs, budget).filter("kept")
+    kept = kept.select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_sha")).distinct()
+    bare = F.translate(text_or_empty(), BLANKS, "").cast("binary")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]) & (F.unhex(F.sha2(bare, 256)) == kept["_sha"])
+    return docs.join(kept, same, "left_semi")

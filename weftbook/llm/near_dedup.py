@@ -35,6 +35,7 @@ HASHES = 256
 BITS = 1024
 SIFT = 0.55  # estimated similarity below which a pair is not looked at: over five deviations under the threshold
 WORDS_KEPT = 200_000
+LONG = 64  # words with more bytes are not remembered
 HOME_LEAST = 16  # members of a component in one bucket, and one in HOME_SHARE of the bucket, that make it a home
 HOME_SHARE = 8
 HOME_BLOCK, VISITOR_BLOCK = 128, 256
@@ -49,9 +50,9 @@ _BAND_SEEDS = _random.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 _BIT_SEEDS = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MIX_1, _MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
-SIGNATURES = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>"
+SIGNATURES = "doc_id long, text_key long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>"
 SIGNATURES_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())),
+    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())),
      ("sketch", pa.list_(pa.int64()))]
 )
 SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -67,7 +68,9 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            self[word] = value
         return value
 
 
@@ -124,8 +127,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2000):
             piece = batch.slice(at, 2000)
             sizes, digests, bands, sketches = [], [], [], []
-            for text in piece.column(1).to_pylist():
-                shingles = shingle_set(text, hashes)
+            for text in piece.column(1):
+                shingles = shingle_set(text.as_py(), hashes)
                 sizes.append(len(shingles))
                 if not len(shingles):
                     digests.append(None)
@@ -136,7 +139,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(least))
                 sketches.append(odd_sketch(least))
-            columns = [piece.column(0), sizes, digests, bands, sketches]
+            columns = [piece.column(0), piece.column(2), sizes, digests, bands, sketches]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, SIGNATURES_ARROW)], schema=SIGNATURES_ARROW
             )
@@ -147,7 +150,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             piece = batch.slice(at, 500)
-            found = [shingle_set(t, hashes).view(np.int64) for t in piece.column(1).to_pylist()]
+            found = [shingle_set(t.as_py(), hashes).view(np.int64) for t in piece.column(1)]
             ends = np.cumsum([0] + [len(f) for f in found])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
             yield pa.RecordBatch.from_arrays([piece.column(0), lists], schema=SETS_ARROW)
@@ -250,10 +253,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Uses doc_id and text; other columns are ignored.  Null and empty texts have no shingle and are linked with nothing; rows
     without doc_id are not linked either (component_id null, kept).  Repeated rows are in one component and all kept or all
     not.  An empty table gives no rows.  Band keys miss a pair of similarity 0.75 with a probability of
-    5 in a million, and less above.
+    5 in a million, and less above; ``percent`` below PERCENT is refused, since bands and sketches are laid out for that.
     """
+    return _grouped(docs, percent).drop("text_key")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """``near_duplicates`` with a hash of every text, ``text_key``."""
+    if percent < PERCENT:
+        raise ValueError(f"similarities below {PERCENT} percent are not found whole")
     texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = stored(texts.mapInArrow(_signatures, SIGNATURES), "signatures")
+    signed = stored(texts.withColumn("text_key", _text_key()).mapInArrow(_signatures, SIGNATURES), "signatures")
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(
         linkable.groupBy("set_hash").agg(
@@ -308,10 +322,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = _with_components(classes.select("set_hash", "node", "n"), "node", "component", found)
     named = stored(named.select("set_hash", "component", "n"), "class-components")
     alone = F.coalesce("component", "doc_id")
-    slim = signed.select("doc_id", "n_shingles", "set_hash")
+    slim = signed.select("doc_id", "text_key", "n_shingles", "set_hash")
     done = lookup_groups(slim, named, ["set_hash"], "n", slim.count())
     return done.select(
         "doc_id",
+        "text_key",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"),
         F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept"),
@@ -319,6 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps."""
-    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps (known by doc_id and text)."""
+    kept = _grouped(docs, percent).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_key").alias("_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]) & (_text_key() == kept["_text"])
+    return docs.join(kept, same, "left_semi")

@@ -85,7 +85,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             piece = batch.slice(at, 2000)
-            rows = [features(t) for t in piece.column("text").to_pylist()]
+            rows = [features(t.as_py()) for t in piece.column("text")]
             flat = pa.array(np.concatenate(rows))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * FEATURES), flat)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], ["doc_id", "x"])
@@ -231,13 +231,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, prior: float | None = None) ->
     """The rows of ``docs``, all columns, whose text is predicted to be good."""
     model = fit(feature_rows(docs), labels, prior)
     w = model.weights.copy()
-    names = docs.columns
-    place = names.index("text")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t) for t in batch.column(place).to_pylist()]
-            if x:
-                yield batch.filter(pa.array(np.array(x) @ w >= 0))
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(features(t.as_py()) @ w >= 0) for t in texts], pa.bool_())
 
-    return docs.mapInArrow(work, docs.schema)
+    return small_batches(docs).filter(F.arrow_udf(good, "boolean")(F.col("text").cast("string")))
