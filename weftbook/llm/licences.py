@@ -141,8 +141,9 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
 
     Units are the lines of a text, numbered from 0, and the whole text (number -1) if it has more than one line; units without
     two words are no units.  Besides, passages of the lines that match nothing are matches, under the line in which they
-    begin: a notice wrapped over lines, or within a longer line; not of a licence that the whole text matches.  licence, dice and unit are those of the best match (highest Dice, then first unit, then
-    licence name) and null without one.  Null and empty texts have no unit; repeated rows and null ids are rows
+    begin: a notice wrapped over lines, or within a longer line; not of a licence that the whole text matches.  The whole text is
+    no further match of a licence that one of its lines matches.  licence, dice and unit are those of the best match (highest
+    Dice, then first unit, then licence name) and null without one.  Null and empty texts have no unit; repeated rows and null ids are rows
     like any other; other columns are ignored; an empty table gives no rows.
     """
     low, high = least / (2 - least), (2 - least) / least
@@ -178,6 +179,11 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
             ),
         )
 
+    line_found = F.transform(F.filter("found", lambda m: m["unit"] != WHOLE), lambda m: m["licence"])
+
+    def counted(match: Column) -> Column:
+        return (match["unit"] != WHOLE) | ~F.array_contains(line_found, match["licence"])
+
     whole_found = F.transform(F.filter("found", lambda m: m["unit"] == WHOLE), lambda m: m["licence"])
     more = F.flatten(
         F.transform(
@@ -193,7 +199,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
             "doc_id", "lines", "within", F.size("units").cast("long").alias("n_units"),
             F.flatten(F.transform("units", against)).alias("found"),
         )
-        .select("doc_id", "n_units", F.concat("found", more).alias("found"))
+        .select("doc_id", "n_units", F.concat(F.filter("found", counted), more).alias("found"))
         .withColumn("best", F.array_min("found"))
         .select(
             "doc_id",
@@ -234,7 +240,8 @@ WITH t AS (
   FROM u, t WHERE len(up) > 0 AND len(up) >= len(tp) * {low_bound(least)}::DOUBLE AND len(up) <= len(tp) * {high_bound(least)}::DOUBLE
 ), b AS (
   SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, unit, licence) AS place, count(*) OVER (PARTITION BY rid) AS n
-  FROM m WHERE dice >= {least}::DOUBLE
+  FROM m WHERE dice >= {least}::DOUBLE AND NOT (unit = {WHOLE} AND EXISTS (
+    SELECT 1 FROM m o WHERE o.rid = m.rid AND o.licence = m.licence AND o.unit <> {WHOLE} AND o.dice >= {least}::DOUBLE))
 )
 SELECT d.doc_id, coalesce(c.n, 0) AS n_units, coalesce(b.n, 0) AS n_matches, b.licence, b.dice, b.unit::BIGINT AS unit
 FROM d LEFT JOIN (SELECT rid, count(*) AS n FROM u WHERE len(up) > 0 GROUP BY rid) c USING (rid)
