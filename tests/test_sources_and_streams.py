@@ -218,3 +218,43 @@ def test_arrival_stamp(spark):
     assert contact.arrival_stamp(plain).first().created_at is not None
     stamped = contact.arrival_stamp(plain)
     assert contact.arrival_stamp(stamped) is stamped
+
+
+FORM = "name string, email string, subject string, message string"
+
+
+def form_run(spark, source, store, checkpoint, files):
+    stream = spark.readStream.schema(FORM).option("maxFilesPerTrigger", files).parquet(str(source))
+    contact.start_intake(contact.with_file_ids(stream), str(store), str(checkpoint)).awaitTermination()
+
+
+@pytest.mark.parametrize("files", [1, 2])
+def test_messages_without_id_are_kept_once_each(spark, tmp_path, files):
+    """Equal messages in one file and in two, in one batch and in two, replayed, restarted and read by a second run."""
+    rows = [("n", "e", "s", "same")] * 2 + [("n", "e", "s", "other"), ("", "e", "s", "bad"), ("", "e", "s", "bad")]
+    source, store = tmp_path / "in", tmp_path / "store"
+    for _ in range(2):
+        spark.createDataFrame(rows, FORM).coalesce(1).write.mode("append").parquet(str(source))
+
+    def stored():
+        return sorted((r.message, r.outcome, r.id, r.created_at) for r in contact.stored_messages(spark, str(store)).collect())
+
+    form_run(spark, source, store, tmp_path / "cp1", files)
+    first = stored()
+    assert [m[:2] for m in first] == [("bad", "rejected")] * 4 + [("other", "accepted")] * 2 + [("same", "accepted")] * 4
+    assert len({m[2] for m in first}) == 10
+    form_run(spark, source, store, tmp_path / "cp1", files)  # nothing new
+    form_run(spark, source, store, tmp_path / "cp2", 3 - files)  # a second run over the same source
+    assert stored() == first
+    spark.createDataFrame(rows[:1], FORM).coalesce(1).write.mode("append").parquet(str(source))
+    form_run(spark, source, store, tmp_path / "cp1", files)
+    form_run(spark, source, store, tmp_path / "cp2", files)
+    assert len(stored()) == 11 and sum(m[0] == "same" for m in stored()) == 5
+    assert contact.latest_messages(spark, str(store)).count() == 5
+
+
+def test_ids_of_the_source_stay(spark, tmp_path):
+    schema = "id bigint, " + FORM
+    spark.createDataFrame([(7, "n", "e", "s", "m"), (None, "n", "e", "s", "m")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    ids_found = [r.id for r in contact.with_file_ids(spark.read.schema(schema).parquet(str(tmp_path / "in"))).collect()]
+    assert 7 in ids_found and min(ids_found) < 0

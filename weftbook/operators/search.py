@@ -56,7 +56,11 @@ def keyword_search(kind: str, items: DataFrame, query: str, hits: int = HITS) ->
 
 def search_results(kind: str, cat, query: str, hits: int = HITS) -> DataFrame:
     """Hits as shown: title, text and a note on date, category, company or address."""
-    found = keyword_search(kind, getattr(cat, TABLE_OF[kind]), query, hits)
+    return as_results(kind, cat, keyword_search(kind, getattr(cat, TABLE_OF[kind]), query, hits))
+
+
+def as_results(kind: str, cat, found: DataFrame) -> DataFrame:
+    """The items ``found`` in the columns of ``search_results``."""
     title, none = ("name" if kind in ("companies", "tools") else "title"), F.lit(None).cast("string")
     text = F.col("summary")
     if kind == "news":

@@ -439,6 +439,8 @@ _add(
     )
     + ") GROUP BY section",
 )
+_INDEXED = [*_WORDS.items(), ("news", "th%ing"), ("knowledge", "t_e r"), ("tools", "d#"), ("companies", "ld_ng%"), ("jobs", "gen")]
+_add("keyword_search_indexed", "\nUNION ALL\n".join(f"SELECT *, '{w}' AS query FROM ({_search(k, w)})" for k, w in _INDEXED))
 _add("contact_required", "SELECT * FROM checked_messages")
 _add("media_accept", "SELECT id, file_size, file_type, extension, reject_reason FROM checked_media")
 
@@ -1046,6 +1048,13 @@ _add(
 # ---------------------------------------------------------------- streaming
 
 _add("contact_intake", "SELECT id, name, email, subject, message, created_at, is_read, reject_reason FROM checked_messages")
+_add(
+    "contact_intake_without_ids",
+    """SELECT CASE user_id % 19 WHEN 0 THEN '' ELSE concat('user-', user_id % 7) END AS name, 'u@example.org' AS email,
+  event_type AS subject, event_type AS message, FALSE AS is_read,
+  CASE WHEN user_id % 19 = 0 OR coalesce(event_type, '') = '' THEN 'Missing required fields' END AS reject_reason
+FROM events""",
+)
 _add("inbox_stream", f"SELECT id, name, email, subject, message, created_at {_INBOX}")
 
 ORACLE["stored_homepage"], ORACLE["stored_search_all"] = ORACLE["homepage"], ORACLE["search_all"]

@@ -23,6 +23,7 @@ from ..operators import (
     routing,
     search,
     sitemap,
+    textindex,
 )
 from ..schemas import JOB_TYPES, LISTING_STATUSES, TABLES
 from ..session import run_folder
@@ -306,6 +307,24 @@ for _kind_name in search.SEARCHED:
     query(f"keyword_search_{_kind_name}")(_keyword_search(_kind_name))
 
 
+# Searches with wildcards and without a trigram beside the words above.
+INDEXED = [*WORDS.items(), ("news", "th%ing"), ("knowledge", "t_e r"), ("tools", "d#"), ("companies", "ld_ng%"), ("jobs", "gen")]
+
+
+def keyword_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches by the trigram index; the index is written first."""
+    cat = Catalogue(spark, sf_dir)
+    root = run_folder(spark, "text-index")
+    textindex.write_index(cat, root, buckets=16)
+    return _union([
+        search.as_results(kind, cat, textindex.indexed_search(spark, root, kind, word, buckets=16)).withColumn("query", F.lit(word))
+        for kind, word in INDEXED
+    ])
+
+
+QUERIES["keyword_search_indexed"] = keyword_search_indexed
+
+
 @query("contact_required")
 def contact_required(cat):
     return intake.check_messages(cat.contact_messages)
@@ -792,9 +811,23 @@ def contact_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contact.stored_messages(spark, store).drop("run", "batch", "outcome")
 
 
+def contact_intake_without_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as the form sends them, without id and time and many of them equal: all are kept, once each."""
+    reader = spark.readStream.schema(RAW_COLUMNS["events"]).option("maxFilesPerTrigger", contact.BATCH_FILES)
+    files = contact.with_file_ids(reader.parquet(f"{sf_dir}/events.parquet*"))
+    stream = files.selectExpr(
+        "id", "CASE user_id % 19 WHEN 0 THEN '' ELSE concat('user-', user_id % 7) END AS name", "'u@example.org' AS email",
+        "event_type AS subject", "event_type AS message",
+    )
+    folder = run_folder(spark, "intake")
+    contact.start_intake(stream, f"{folder}/store", f"{folder}/checkpoint", False).awaitTermination()
+    return contact.stored_messages(spark, f"{folder}/store").drop("id", "created_at", "run", "batch", "outcome")
+
+
 def inbox_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contact.latest_messages(spark, _taken_in(spark, sf_dir, inbox=True))
 
 
 QUERIES["contact_intake"] = contact_intake
+QUERIES["contact_intake_without_ids"] = contact_intake_without_ids
 QUERIES["inbox_stream"] = inbox_stream

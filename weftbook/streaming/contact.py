@@ -114,6 +114,20 @@ def with_ids(messages: DataFrame) -> DataFrame:
     return messages.withColumn("id", F.coalesce("id", -(F.pmod(day, F.lit(32767)) * F.lit(1 << 48) + digest + 1)))
 
 
+def with_file_ids(files: DataFrame) -> DataFrame:
+    """Give messages without id one from where they stand: the day their file was written, then a digest of its path and the row's number.
+
+    ``files`` is a frame read from Parquet files, before anything else is done with it; a column ``id`` that it has is
+    kept where it is set.  Equal messages are then two messages, in one batch or in several, and the same file read again,
+    after a failure or by another run, gives the same ids.  Two rows share one by a chance of one in 2^48 per pair of a day,
+    which ``store_batch`` then shows as a conflict.
+    """
+    day = F.coalesce(F.unix_date(F.col("_metadata.file_modification_time").cast("date")), F.lit(0)).cast("bigint")
+    digest = F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(1 << 48))
+    made = -(F.pmod(day, F.lit(32767)) * F.lit(1 << 48) + digest + 1)
+    return files.withColumn("id", F.coalesce("id", made) if "id" in files.columns else made)
+
+
 def store_batch(batch: DataFrame, number: int, store: str, run: str, stamped: bool = False) -> None:
     """Check, stamp and store one micro-batch; running it twice gives the same rows.
 
@@ -179,7 +193,9 @@ def start_intake(messages: DataFrame, store: str, checkpoint: str, inbox: bool =
     """Take in a stream of messages up to its present end.
 
     ``messages`` is a streaming frame with id, name, email, subject, message and
-    created_at; a source that lacks the last is given the moment of arrival here.
+    created_at; a source that lacks the last is given the moment of arrival here.  Messages without
+    id should get one from their source (``with_file_ids``, or the offset of a queue): what has none here gets one
+    from its fields, so that equal ones of a day count as one message.
     """
     run = run_name(checkpoint)
     stamped = "created_at" not in messages.columns
