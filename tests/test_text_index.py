@@ -35,22 +35,23 @@ def made(spark, tmp_path_factory):
 @pytest.mark.parametrize("hits", [10, 100])
 def test_same_rows_as_the_scan(spark, made, hits):
     tables, root = made
+    index = textindex.TextIndex(spark, root, 8)
     for query in QUERIES:
         scan = search.keyword_search("tools", tables.tools, query, hits)
-        found = textindex.indexed_search(spark, root, "tools", query, hits, buckets=8)
+        found = index.search("tools", query, hits)
         assert [r.id for r in found.collect()] == [r.id for r in scan.collect()], query
 
 
 def test_only_asked_buckets_and_blocks_are_read(spark, made):
     _, root = made
     grams = textindex.query_grams(spark, "far away")
-    found = textindex.candidates(spark, root, "tools", grams, buckets=8)
+    index = textindex.TextIndex(spark, root, 8)
+    found = index.candidates("tools", grams)
     assert sorted(r.block for r in found.collect()) == [1, 2, 3]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "In(gram" in plan.split("PushedFilters: [")[1]
-    items = textindex.indexed_search(spark, root, "tools", "far away", buckets=8)
-    assert "block" in items._jdf.queryExecution().executedPlan().toString()
+    assert [r.slug for r in index.search("tools", "far away").collect()] == ["far-1", "far-2", "far-3"]
 
 
 def test_literal_parts():
@@ -61,8 +62,9 @@ def test_literal_parts():
 def test_real_tables(spark, sf_dir, tmp_path):
     cat = Catalogue(spark, sf_dir)
     textindex.write_index(cat, str(tmp_path / "x"), buckets=4, kinds=("news", "companies"))
+    index = textindex.TextIndex(spark, str(tmp_path / "x"), 4)
     for kind in ("news", "companies"):
         for query in ("the", "er_th", "ing%the", "build"):
             scan = search.keyword_search(kind, getattr(cat, search.TABLE_OF[kind]), query, 1000)
-            found = textindex.indexed_search(spark, str(tmp_path / "x"), kind, query, 1000, buckets=4)
+            found = index.search(kind, query, 1000)
             assert [r.id for r in found.collect()] == [r.id for r in scan.collect()]

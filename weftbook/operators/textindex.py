@@ -24,13 +24,17 @@ from .search import HITS, SEARCHED, TABLE_OF, matches
 BUCKETS = 256
 BLOCK_BITS = 18  # ids of one block: at most 2 MB of them in a posting
 GRAM = 3
+POSTINGS = "gram string, block bigint, ids array<bigint>, bucket int, kind string"
 
 
 def _grams(text: Column) -> Column:
     """All trigrams of a text; none for NULL and shorter ones."""
+    # Nothing but the characters enters a lambda: it would be computed anew for each of them.
     chars = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    starts = F.when(F.size(chars) >= GRAM, F.sequence(F.lit(0), F.size(chars) - GRAM)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(GRAM)]))
+    found = chars
+    for k in range(1, GRAM):
+        found = F.zip_with(found, F.slice(chars, k + 1, F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.filter(found, lambda gram: gram.isNotNull())
 
 
 def _bucket(gram: str, buckets: int) -> int:
@@ -41,7 +45,7 @@ def postings_of(kind: str, items: DataFrame) -> DataFrame:
     """gram, kind, block and sorted ids of all published items of a kind."""
     grams = F.array_distinct(F.concat(*[_grams(F.col(f)) for f in SEARCHED[kind]]))
     pairs = published(items).select(F.col("id").cast("bigint").alias("id"), F.explode(grams).alias("gram"))
-    block = F.shiftright("id", BLOCK_BITS).alias("block")
+    block = F.shiftright("id", BLOCK_BITS).alias("block")  # a bigint, as the id is
     rows = pairs.groupBy("gram", block).agg(F.sort_array(F.collect_set("id")).alias("ids"))
     return rows.withColumn("kind", F.lit(kind))
 
@@ -76,26 +80,35 @@ def query_grams(spark: SparkSession, query: str) -> list[str]:
     return sorted({part[i : i + GRAM] for part in literal_parts(lowered) for i in range(len(part) - GRAM + 1)})
 
 
-def candidates(spark: SparkSession, root: str, kind: str, grams: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """block and id of the items that hold all of ``grams``."""
-    held = spark.read.parquet(f"{root}/postings").where(
-        F.col("bucket").isin(sorted({_bucket(g, buckets) for g in grams})) & (F.col("kind") == kind) & F.col("gram").isin(grams)
-    )
-    # One list per trigram of the query: the query's length bounds the group.
-    met = held.groupBy("block").agg(F.collect_list("ids").alias("lists")).where(F.size("lists") == len(grams))
-    shared = F.aggregate(F.slice("lists", 2, len(grams)), F.element_at("lists", 1), F.array_intersect)
-    return met.select("block", F.explode(shared).alias("id"))
-
-
-def indexed_search(
-    spark: SparkSession, root: str, kind: str, query: str, hits: int = HITS, buckets: int = BUCKETS
-) -> DataFrame:
-    """The rows that ``search.keyword_search`` gives, by the index below ``root``."""
-    query = query.strip()
-    items = spark.read.parquet(f"{root}/items/{kind}")
-    grams = query_grams(spark, query) if query else []
-    if grams:
-        found = candidates(spark, root, kind, grams, buckets).withColumn("block", F.col("block").cast("int"))
-        items = items.withColumn("block", F.col("block").cast("int")).join(found, ["block", "id"], "left_semi")
-    found = matches(items, SEARCHED[kind], query) if query else items.where(F.lit(False))
-    return first_n(found.drop("block"), hits)
+class TextIndex:
+    """The index that ``write_index`` stored below ``root`` with the same number of buckets."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root, buckets
+        self.postings = spark.read.schema(POSTINGS).parquet(f"{root}/postings")
+        self._items: dict[str, DataFrame] = {}
+
+    def items(self, kind: str) -> DataFrame:
+        """The published items of a kind, with the block of their id."""
+        if kind not in self._items:
+            self._items[kind] = self.spark.read.parquet(f"{self.root}/items/{kind}").withColumn("block", F.col("block").cast("bigint"))
+        return self._items[kind]
+
+    def candidates(self, kind: str, grams: list[str]) -> DataFrame:
+        """block and id of the items that hold all of ``grams``."""
+        asked = F.col("bucket").isin(sorted({_bucket(g, self.buckets) for g in grams})) & (F.col("kind") == kind)
+        held = self.postings.where(asked & F.col("gram").isin(grams))
+        # One list per trigram of the query: the query's length bounds the group.
+        met = held.groupBy("block").agg(F.collect_list("ids").alias("lists")).where(F.size("lists") == len(grams))
+        shared = F.aggregate(F.slice("lists", 2, len(grams)), F.element_at("lists", 1), F.array_intersect)
+        return met.select("block", F.explode(shared).alias("id"))
+
+    def search(self, kind: str, query: str, hits: int = HITS) -> DataFrame:
+        """The rows that ``search.keyword_search`` gives."""
+        query = query.strip()
+        items = self.items(kind)
+        grams = query_grams(self.spark, query) if query else []
+        if grams:
+            items = items.join(self.candidates(kind, grams), ["block", "id"], "left_semi")
+        found = matches(items, SEARCHED[kind], query) if query else items.where(F.lit(False))
+        return first_n(found.drop("block"), hits)

@@ -439,7 +439,7 @@ _add(
     )
     + ") GROUP BY section",
 )
-_INDEXED = [*_WORDS.items(), ("news", "th%ing"), ("knowledge", "t_e r"), ("tools", "d#"), ("companies", "ld_ng%"), ("jobs", "gen")]
+_INDEXED = [*{**_WORDS, "jobs": "URGE"}.items(), ("news", "th%ing"), ("knowledge", "t_e r"), ("tools", "d#"), ("companies", "ld_ng%"), ("jobs", "gen")]
 _add("keyword_search_indexed", "\nUNION ALL\n".join(f"SELECT *, '{w}' AS query FROM ({_search(k, w)})" for k, w in _INDEXED))
 _add("contact_required", "SELECT * FROM checked_messages")
 _add("media_accept", "SELECT id, file_size, file_type, extension, reject_reason FROM checked_media")

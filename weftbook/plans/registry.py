@@ -316,8 +316,9 @@ def keyword_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalogue(spark, sf_dir)
     root = run_folder(spark, "text-index")
     textindex.write_index(cat, root, buckets=16)
+    index = textindex.TextIndex(spark, root, buckets=16)
     return _union([
-        search.as_results(kind, cat, textindex.indexed_search(spark, root, kind, word, buckets=16)).withColumn("query", F.lit(word))
+        search.as_results(kind, cat, index.search(kind, word)).withColumn("query", F.lit(word))
         for kind, word in INDEXED
     ])
 
