@@ -104,6 +104,36 @@ def outside_domain(df: DataFrame, table: str, domains: dict[str, tuple[str, ...]
     )
 
 
+def row_rules(
+    df: DataFrame,
+    table: str,
+    required: list[str],
+    limits: dict[str, int] | None = None,
+    domains: dict[str, tuple[str, ...]] | None = None,
+) -> DataFrame:
+    """The reports of ``missing_values``, ``too_long`` and ``outside_domain`` from one pass over the table.
+
+    Every row gives its broken rules; equal ones are counted before they move.  Texts that are too long are reported
+    row by row, the others by column and value.
+    """
+    none = F.lit(None).cast("string")
+
+    def found(rule: str, column: str, broken: Column, key: Column, size: Column) -> Column:
+        return F.struct(
+            F.lit(rule).alias("rule"), F.lit(column).alias("column_name"), key.cast("string").alias("key"),
+            size.cast("bigint").alias("size"), F.coalesce(broken, F.lit(False)).alias("broken"),
+        )
+
+    checks = [found("not null", c, F.col(c).isNull(), none, F.lit(None)) for c in required]
+    for c, most in (limits or {}).items():
+        checks.append(found("length", c, F.char_length(F.col(c)) > most, F.col("id"), F.char_length(F.col(c))))
+    checks += [found("domain", c, ~F.col(c).isin(*values), F.col(c), F.lit(None)) for c, values in (domains or {}).items()]
+    broken = df.select(F.inline(F.filter(F.array(*checks), lambda x: x["broken"])))
+    counted = broken.groupBy("rule", "column_name", "key", "size").agg(F.count(F.lit(1)).alias("rows"))
+    each = F.when(F.col("rule") == "length", F.array_repeat("size", F.col("rows").cast("int"))).otherwise(F.array("rows"))
+    return counted.select(F.lit(table).alias("table_name"), "rule", "column_name", "key", F.explode(each).alias("n"))
+
+
 def check_tables(tables: dict[str, DataFrame], rules: dict) -> DataFrame:
     """Every declared rule over every given table: ``rules`` is schemas.TABLES."""
     parts: list[DataFrame] = []
@@ -112,14 +142,11 @@ def check_tables(tables: dict[str, DataFrame], rules: dict) -> DataFrame:
         have = set(df.columns)
         parts += [duplicates(df, name, list(key)) for key in rule.unique if have.issuperset(key)]
         required = [c for c in rule.required() if c in have]
-        parts.append(missing_values(df, name, required))
+        limits = {c: size for c, size in rule.lengths().items() if c in have and "id" in have}
+        domains = {c: values for c, values in rule.domains.items() if c in have}
+        if required or limits or domains:
+            parts.append(row_rules(df, name, required, limits, domains))
         for column, (parent, _) in rule.foreign_keys.items():
             if column in have and parent in tables:
                 parts.append(orphans(df, name, column, tables[parent]))
-        limits = {c: size for c, size in rule.lengths().items() if c in have}
-        if limits and "id" in have:
-            parts.append(too_long(df, name, limits))
-        domains = {c: values for c, values in rule.domains.items() if c in have}
-        if domains:
-            parts.append(outside_domain(df, name, domains))
     return reduce(DataFrame.unionByName, parts)
