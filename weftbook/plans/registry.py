@@ -17,6 +17,7 @@ from ..operators import (
     feeds,
     intake,
     integrity,
+    pageindex,
     pages,
     paging,
     relations,
@@ -41,6 +42,7 @@ WORD = "the"
 SITE, PLACE, BASE = "Example", "Anytown", "https://example.org/"
 CATEGORY = "asia"
 PAGE = 3
+PAGE_RANGE = 1000  # rows of a page index range
 ROUTES = (("benchmark", ("ther", "ing")), ("costing", ("der",)), ("fabric", ("ion", "ment")))
 # Limits for which the test tables hold rows that break them.
 TITLE_LIMIT, SLUG_LIMIT = 50, 6
@@ -462,7 +464,7 @@ def search_totals(cat):
 @query("paged_feed")
 def paged_feed(cat):
     jobs = feeds.published(cat.jobs).select("id", "title", "slug", "created_at")
-    return paging.all_pages(jobs, feeds.newest_first("created_at"))
+    return pageindex.PageIndex.build(jobs, "created_at", PAGE_RANGE).all_pages()
 
 
 @query("page_of_feed")
@@ -471,12 +473,17 @@ def page_of_feed(cat):
     return paging.page_of(feeds.published(cat.news_articles), order, PAGE).select("id", "title", "published_at")
 
 
-@query("page_of_feed_deep")
-def page_of_feed_deep(cat):
-    """The same page by way of numbered pages, as for pages far back."""
-    order = feeds.newest_first("published_at")
-    items = feeds.published(cat.news_articles).select("id", "title", "published_at")
-    return paging.page_of(items, order, PAGE, deep=0).withColumn("position", paging.place_on_page(order) + (PAGE - 1) * paging.PER_PAGE)
+def page_of_feed_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page by a stored page index, as for pages far back."""
+    items = feeds.published(Catalogue(spark, sf_dir).news_articles).select("id", "title", "published_at")
+    path = run_folder(spark, "page-index")
+    pageindex.PageIndex.build(items, "published_at", PAGE_RANGE).save(path)
+    page = pageindex.PageIndex.load(items, "published_at", path, PAGE_RANGE).page(PAGE)
+    place = paging.place_on_page(feeds.newest_first("published_at"))
+    return page.withColumn("position", place + (PAGE - 1) * paging.PER_PAGE)
+
+
+QUERIES["page_of_feed_deep"] = page_of_feed_deep
 
 
 @query("latest_published")
