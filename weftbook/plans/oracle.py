@@ -716,11 +716,13 @@ _ARTICLE_STATE = (
 )
 _add("apply_creates", f"SELECT {_ARTICLE_STATE} FROM news_articles UNION ALL {_CREATED}")
 _add("apply_edits", _EDITED)
-_add(
-    "apply_changes",
+_CHANGED = (
     f"SELECT {_ARTICLE_STATE} FROM (SELECT {_ARTICLE_STATE} FROM ({_EDITED}) UNION ALL {_CREATED})"
-    " WHERE id NOT IN (SELECT vec_id FROM embeddings)",
+    " WHERE id NOT IN (SELECT vec_id FROM embeddings)"
 )
+_add("apply_changes", _CHANGED)
+_add("stored_changes", _CHANGED)
+_add("maintained_counts", f"SELECT status, category_id, count(*) AS n FROM ({_CHANGED}) GROUP BY status, category_id")
 _add("apply_deletes", "SELECT id, slug, status FROM news_articles WHERE id NOT IN (SELECT vec_id FROM embeddings)")
 _add(
     "delete_outcomes",

@@ -28,6 +28,7 @@ from ..operators import (
 )
 from ..schemas import JOB_TYPES, LISTING_STATUSES, TABLES
 from ..session import run_folder
+from ..sources import blocks
 from ..sources.catalogue import read_catalogue, write_catalogue
 from ..sources.exports import json_record, read_sitemap, write_feed, write_sitemap
 from ..sources.testviews import RAW_COLUMNS, Catalogue, from_events
@@ -42,6 +43,7 @@ WORD = "the"
 SITE, PLACE, BASE = "Example", "Anytown", "https://example.org/"
 CATEGORY = "asia"
 PAGE = 3
+BLOCK_BITS = 10  # ids of a stored block
 PAGE_RANGE = 1000  # rows of a page index range
 ROUTES = (("benchmark", ("ther", "ing")), ("costing", ("der",)), ("fabric", ("ion", "ment")))
 # Limits for which the test tables hold rows that break them.
@@ -577,15 +579,45 @@ def apply_deletes(cat):
     return changes.apply_deletes(cat.news_articles, cat.article_deletes).select("id", "slug", "status")
 
 
-@query("apply_changes")
-def apply_changes(cat):
-    """Creates, edits and deletes of articles in one batch."""
+def _article_batch(cat) -> DataFrame:
     parts = {"create": cat.article_creates, "edit": cat.article_edits, "delete": cat.article_deletes}
-    batch = reduce(
+    return reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
         [df.withColumn("op", F.lit(op)) for op, df in parts.items()],
     )
-    return changes.apply_changes(cat.news_articles, batch, ARTICLE_FIELDS).select(*_STATE)
+
+
+@query("apply_changes")
+def apply_changes(cat):
+    """Creates, edits and deletes of articles in one batch."""
+    return changes.apply_changes(cat.news_articles, _article_batch(cat), ARTICLE_FIELDS).select(*_STATE)
+
+
+def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch applied to stored blocks, twice: the second run changes nothing."""
+    cat, root = Catalogue(spark, sf_dir), run_folder(spark, "blocks")
+    blocks.write_blocks(cat.news_articles, root, BLOCK_BITS)
+    for _ in range(2):
+        blocks.apply_batch(spark, root, 1, _article_batch(cat), ARTICLE_FIELDS)
+    return blocks.read_blocks(spark, root).select(*_STATE)
+
+
+QUERIES["stored_changes"] = stored_changes
+
+
+def maintained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles per status and category after three mixed batches, by kept counts: no table is counted again."""
+    cat, root = Catalogue(spark, sf_dir), run_folder(spark, "blocks")
+    blocks.write_blocks(cat.news_articles, root, BLOCK_BITS)
+    # Of an id's two edits the later one comes in a later batch.
+    part = F.when(F.col("op") == "edit", F.col("change_id") % 2 + 1).otherwise(F.col("id") % 3)
+    batch = _article_batch(cat).withColumn("batch", part + 1)
+    for number in (1, 2, 3):
+        blocks.apply_batch(spark, root, number, batch.where(F.col("batch") == number).drop("batch"), ARTICLE_FIELDS)
+    return blocks.stored_counts(spark, root)
+
+
+QUERIES["maintained_counts"] = maintained_counts
 
 
 @query("delete_outcomes")
