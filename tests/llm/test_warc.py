@@ -98,6 +98,68 @@ def test_mixed_and_grouped_members():
     assert read(record(0) + grouped + warc._member(record(3)) + record(4)) == ([0, 1, 2, 3, 4], [])
 
 
+def packed(*parts):
+    both = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return both.compress(b"".join(parts)) + both.flush()
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_damage_inside_a_member(block):
+    one, two, three = (record(i, bytes([64 + i]) * 300) for i in (1, 2, 3))
+    hurt = two[:-50] + b"x" + two[-49:]
+    member = packed(one, hurt, three)
+    rows = list(warc.salvage(io.BytesIO(record(0) + member + record(4)), block))
+    pages = [warc._page_of(r[3]["head"]["warc-record-id"]) for r in rows if r[0] == "record"]
+    assert pages == [0, 1, 3, 4]
+    at = len(record(0))
+    gaps = [r[1:] for r in rows if r[0] == "gap"]
+    assert gaps == [(at, at + len(member), ("block digest differs", len(one), len(one) + len(two)))]
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_member_that_breaks_off(block):
+    import random
+
+    noise = random.Random(1)
+    parts = [record(i, noise.randbytes(4000)) for i in range(6)]
+    member = packed(*parts)
+    cut = member[: len(member) // 2]
+    assert read(cut, block) == ([0, 1], [(0, len(cut))])
+    assert read(cut + warc._member(record(9)), block) == ([0, 1, 9], [(0, len(cut))])
+    last = [found for kind, _, _, found in warc.salvage(io.BytesIO(cut), block) if kind == "gap"][0]
+    assert last[1] == len(parts[0]) + len(parts[1])
+    # a wrong checksum: records with a digest of their own count but for the last, others do not
+    wrong = member[:-8] + b"\0\0\0\0" + member[-4:]
+    assert read(wrong, block)[0] == [0, 1, 2, 3, 4]
+    bare = b"\r\n".join(line for line in record(7).split(b"\r\n") if not line.startswith(b"WARC-Block-Digest"))
+    assert read(packed(bare), block) == ([7], [])
+    broken = packed(bare)[:-8] + bytes(8)
+    assert read(broken, block) == ([], [(0, len(broken))])
+
+
+def test_lengths_that_cannot_be_true_are_not_read():
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def read(self, size=-1):
+            out = super().read(size)
+            self.taken += len(out)
+            return out
+
+    false = record(1).replace(b"Content-Length: ", b"Content-Length: 99999999")
+    data = false + record(2) + b"z" * 3_000_000
+    file = Counting(data)
+    rows = warc.salvage(file, 1 << 14)
+    assert next(rows)[:3] == ("gap", 0, len(false)) and next(rows)[0] == "record"
+    assert file.taken < 100_000
+
+
+def test_many_records_in_one_member():
+    parts = [record(i, bytes([i % 250]) * 5000) for i in range(3000)]
+    data = packed(*parts)
+    assert read(data) == (list(range(3000)), [])
+
+
 def test_gaps_are_rows(spark, tmp_path):
     path = tmp_path / "a.warc.gz"
     path.write_bytes(b"??" + warc._member(record(7)))

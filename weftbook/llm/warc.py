@@ -6,7 +6,8 @@ gzip member per record, under a name given by its partition; an archive appears
 
 Reader: archives are dealt out by path and read record by record.  When a member's checksum, a version line, a length
 or a digest fails, the reader searches for the next gzip mark or version line whose record passes all checks,
-goes on there, and reports the bytes between as a gap.
+goes on there, and reports the bytes between as a gap.  Inside a member it does the same on the plain bytes, also on those
+that come before the place where a member breaks off.  It holds one member's packed bytes and one record at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from weftbook.session import run_folder
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 BLOCK = 1 << 20
+HELD_BYTES = 8 << 20  # records of one member that wait for its checksum
 MEMBER = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 CAPTURED = "2024-01-01T00:00:00Z"
@@ -38,13 +40,14 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MANIFEST = "path string, records long, bytes long"
 RECORDS = (
     "kind string, path string, start long, end long, reason string, record_type string, page_id long, url string, "
-    "refers_to long, payload_bytes long, payload_digest string, payload binary"
+    "refers_to long, payload_bytes long, payload_digest string, payload binary, inner_start long, inner_end long"
 )
 MANIFEST_ARROW = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 RECORDS_ARROW = pa.schema(
     [("kind", pa.string()), ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()),
      ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()),
-     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
+     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()),
+     ("inner_start", pa.int64()), ("inner_end", pa.int64())]
 )
 
 
@@ -173,6 +176,10 @@ class Window:
 
     def __init__(self, file, block: int = BLOCK):
         self.file, self.block, self.base, self.data, self.ended = file, block, 0, b"", False
+        self.size = None  # of the file, where it is known
+        if hasattr(file, "seek"):
+            self.size = file.seek(0, 2)
+            file.seek(0)
 
     def more(self) -> bool:
         piece = b"" if self.ended else self.file.read(self.block)
@@ -226,21 +233,40 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     return {"head": head, "block": block}, start + length + 4
 
 
-def _read_member(window: Window, at: int) -> tuple[bytes, int]:
-    opener, place, out = zlib.decompressobj(31), at, []
-    while not opener.eof:
-        piece = window.get(place, 1 << 16)
-        if not piece:
-            raise Damage("gzip member is cut")
-        try:
-            out.append(opener.decompress(piece))
-        except zlib.error as error:
-            raise Damage(f"gzip: {error}") from error
-        place += len(piece) - len(opener.unused_data)
-    return b"".join(out), place
-
-
-def _read_plain(window: Window, at: int) -> tuple[bytes, int]:
+class Unpacker:
+    """The plain bytes of the gzip member at a place of a window, piece by piece; ``damage`` says why they end too early."""
+
+    def __init__(self, window: Window, at: int):
+        self.window, self.place, self.opener, self.damage, self.given = window, at, zlib.decompressobj(31), "", 0
+
+    def read(self, size: int) -> bytes:
+        out = b""
+        while not (out or self.opener.eof or self.damage):
+            piece = self.window.get(self.place, 1 << 14)  # at most 16 MB when unpacked
+            if not piece:
+                self.damage = "gzip member is cut"
+                break
+            before = self.opener.copy()
+            try:
+                out = self.opener.decompress(piece)
+                self.place += len(piece) - len(self.opener.unused_data)
+            except zlib.error as error:
+                self.damage, out = f"gzip: {error}", self._up_to_damage(before, piece)
+        self.given += len(out)
+        return out
+
+    def _up_to_damage(self, opener, piece: bytes) -> bytes:
+        """What can be unpacked of a piece before the byte at which it fails."""
+        parts = []
+        for at in range(len(piece)):
+            try:
+                parts.append(opener.decompress(piece[at : at + 1]))
+            except zlib.error:
+                break
+        return b"".join(parts)
+
+
+def _plain_record(window: Window, at: int) -> tuple[dict, int]:
     size = 1 << 13
     while b"\r\n\r\n" not in (data := window.get(at, size)):
         if len(data) < size or size > 1 << 20:
@@ -251,57 +277,95 @@ def _read_plain(window: Window, at: int) -> tuple[bytes, int]:
     if not length:
         raise Damage("no content length")
     total = end + 4 + int(length[1]) + 4
+    if window.size is not None and at + total > window.size:  # nothing is read for a length that cannot be true
+        raise Damage("block is cut")
     data = window.get(at, total)
     if len(data) < total:
         raise Damage("block is cut")
-    return data, at + total
+    return parse_record(data)[0], at + total
 
 
-def _records_at(window: Window, at: int) -> tuple[list[dict], int]:
+def _read(window: Window, at: int, marks: tuple[bytes, ...]) -> Iterator[tuple[str, int, object]]:
+    """Records and inner gaps of the member or plain record at a place, each with an end; returns where it ends.
+
+    Raises Damage if nothing there is whole, or behind the records that were.  In a member that breaks off or whose
+    checksum fails, only records with a digest of their own that are followed by more bytes are whole.
+    """
     mark = window.get(at, len(VERSION))
-    if mark.startswith(MEMBER):
-        data, end = _read_member(window, at)
-    elif mark == VERSION:
-        data, end = _read_plain(window, at)
-    else:
+    if mark == VERSION:
+        found, end = _plain_record(window, at)
+        yield "record", end, found
+        return end
+    if MEMBER not in marks or not mark.startswith(MEMBER):
         raise Damage("neither a gzip mark nor a version line")
-    records, place = [], 0
-    while place < len(data):
-        record, place = parse_record(data, place)
-        records.append(record)
-    return records, end
-
-
-def salvage(file, block: int = BLOCK) -> Iterator[tuple[str, int, int, object]]:
-    """All that can be read of an open file: ('record', start, end, record) and ('gap', start, end, reason)."""
-    window, at = Window(file, block), 0
+    unpacker = Unpacker(window, at)
+    sure, unsure, gaps, size, passed, last = [], [], [], 0, 0, None
+    for kind, start, end, found in salvage(unpacker, window.block, (VERSION,)):
+        if kind == "gap":
+            gaps.append((found[0], start, end))
+            continue
+        if size > HELD_BYTES:
+            for record in sure:
+                yield "record", unpacker.place, record
+            sure, size = [], 0
+        passed, last = end, (start, found)
+        (sure if "warc-block-digest" in found["head"] else unsure).append(found)
+        size += len(found["block"])
+    if unpacker.damage:
+        # The record at whose very end the member breaks off is part of the damage.
+        if last and passed == unpacker.given:
+            passed = last[0]
+            sure = [record for record in sure if record is not last[1]]
+    else:
+        sure = sure + unsure
+    for record in sure:
+        yield "record", unpacker.place, record
+    if unpacker.damage:
+        raise Damage(unpacker.damage, passed)
+    if not passed:
+        raise Damage(gaps[0][0] if gaps else "empty member")
+    for gap in gaps:
+        yield "gap", unpacker.place, gap
+    return unpacker.place
+
+
+def salvage(
+    file, block: int = BLOCK, marks: tuple[bytes, ...] = (MEMBER, VERSION)
+) -> Iterator[tuple[str, int, int, object]]:
+    """All that can be read of an open file: ('record', start, end, record) and ('gap', start, end, (reason, from, to)).
+
+    start and end are places in the file.  For damage inside a gzip member that is otherwise whole, they are the member's, and from
+    and to are places in its plain bytes; for a member that broke off, from is the place behind its last whole record.
+    """
+    window, at, lost, reason = Window(file, block), 0, None, ("", None, None)
     while window.get(at, 1):
         window.drop(at)
-        try:
-            records, end = _records_at(window, at)
-        except Damage as damage:
-            start, reason, at = at, str(damage), at + 1
-            while True:  # the next mark whose record is whole
-                found = window.find((MEMBER, VERSION), at)
-                if found is None:
-                    yield "gap", start, window.base + len(window.data), reason
-                    return
-                try:
-                    records, end = _records_at(window, found)
-                    break
-                except Damage:
-                    at = found + 1
-            yield "gap", start, found, reason
-            at = found
-        for record in records:
-            yield "record", at, end, record
-        at = end
+        reader = _read(window, at, marks)
+        while True:
+            try:
+                kind, end, found = next(reader)
+            except StopIteration as stop:
+                at = stop.value
+                break
+            except Damage as damage:
+                if lost is None:
+                    lost, reason = at, (str(damage.args[0]), damage.args[1] if len(damage.args) > 1 and damage.args[1] else None, None)
+                at = window.find(marks, at + 1)  # the next mark whose record is whole
+                break
+            if lost is not None:
+                yield "gap", lost, at, reason
+                lost = None
+            yield kind, at, end, found
+        if at is None:
+            break
+    if lost is not None:
+        yield "gap", lost, window.base + len(window.data), reason
 
 
 def _described(kind: str, path: str, start: int, end: int, found) -> dict:
     row = dict.fromkeys(RECORDS_ARROW.names) | {"kind": kind, "path": path, "start": start, "end": end}
     if kind == "gap":
-        return row | {"reason": found}
+        return row | dict(zip(("reason", "inner_start", "inner_end"), found))
     head, block = found["head"], found["block"]
     payload = block.partition(b"\r\n\r\n")[2] if head.get("content-type", "").startswith("application/http") else block
     digest, revisit = head.get("warc-payload-digest", ""), head.get("warc-type") == "revisit"
@@ -327,7 +391,8 @@ def _described(kind: str, path: str, start: int, end: int, found) -> dict:
 def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives named in column ``path``.
 
-    kind is 'record' or 'gap'; start and end are byte places in the archive; reason says why a gap's bytes failed.
+    kind is 'record' or 'gap'; start and end are byte places in the archive; reason says why a gap's bytes failed; inner_start and
+    inner_end are places in the plain bytes of a member that is damaged only in part (see ``salvage``).
     For revisits the payload is null and payload_bytes and payload_digest are those of the payload they stand for.
     """
 
@@ -337,7 +402,7 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
                 store, name = _filesystem(path)
                 rows: list[dict] = []
                 size = 0
-                with store.open_input_stream(name, compression=None) as file:
+                with store.open_input_file(name) as file:
                     for kind, start, end, found in salvage(file):
                         row = _described(kind, path, start, end, found)
                         size += len(row["payload"] or b"")
