@@ -1,5 +1,8 @@
 """Text, slug, number and image expressions on hand-made values."""
 
+import sys
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +67,22 @@ def test_slug(spark, title, expected):
     assert values(spark, [(title,)], "t string", slugs.slug_of(F.col("t"))) == [expected]
 
 
+def test_ascii_of_every_character(spark):
+    codes = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    texts = [(n, "".join(f"{chr(c)}x" for c in codes[n:n + 997])) for n in range(0, len(codes), 997)]
+    df = spark.createDataFrame(texts, "n int, t string").select("n", slugs.plain_ascii(F.col("t")).alias("a"))
+    found = {row.n: row.a for row in df.collect()}
+    assert found == {n: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for n, t in texts}
+
+
+def test_ascii_keeps_order_among_marks_and_needs_no_python(spark):
+    rows = [("e\u0316\u0301a\u0301\u0316\u01c6",), (None,), ("",), ("\ud55c\uae00 \u216b\u2075",), ("\U0001d400\u2474\U0001f130",)]
+    df = spark.createDataFrame(rows, "t string").select(slugs.plain_ascii(F.col("t")).alias("a"))
+    assert [r.a for r in df.collect()] == ["eadz", None, "", " XII5", "A(1)A"]
+    plan = df._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_given_slug_wins(spark):
     rows = [("Title", "My Slug/1"), ("Title", ""), ("Title", None)]
     found = values(spark, rows, "t string, s string", slugs.slug_of(F.col("t"), F.col("s")))
