@@ -646,11 +646,12 @@ _SITEMAP = (
 )
 _add("sitemap", _SITEMAP)
 
-_add(
-    "sitemap_export",
-    "SELECT loc, CAST(NULL AS VARCHAR) AS lastmod, changefreq, priority FROM addresses",
-    {"addresses": _SITEMAP},
-)
+for _name in ("sitemap_export", "sitemap_by_change"):
+    _add(
+        _name,
+        "SELECT loc, CAST(NULL AS VARCHAR) AS lastmod, changefreq, priority FROM addresses",
+        {"addresses": _SITEMAP},
+    )
 
 
 def _block(table: str, order: str, n: int) -> str:

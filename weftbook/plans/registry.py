@@ -31,6 +31,7 @@ from ..session import run_folder
 from ..sources import blocks
 from ..sources.catalogue import read_catalogue, write_catalogue
 from ..sources.exports import json_record, read_sitemap, write_feed, write_sitemap
+from ..sources.sitemapshards import read_sharded_sitemap, update_sitemap
 from ..sources.testviews import RAW_COLUMNS, Catalogue, from_events
 from ..streaming import contact
 
@@ -134,6 +135,15 @@ def sitemap_export(cat):
     return read_sitemap(cat.spark, path)
 
 
+@query("sitemap_by_change")
+def sitemap_by_change(cat):
+    """The site map kept in shards: first written without the jobs, then brought to all addresses, and read back."""
+    path, urls = run_folder(cat.spark, "sitemap-shards"), sitemap.sitemap(cat, BASE)
+    update_sitemap(urls.where(~F.col("loc").contains("/jobs/")), path, BASE)
+    update_sitemap(urls, path, BASE)
+    return read_sharded_sitemap(cat.spark, path)
+
+
 @query("seed_insert_if_absent")
 def seed_insert_if_absent(cat):
     """Suppliers and customers entered as users where customers already are."""
