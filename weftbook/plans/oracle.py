@@ -379,6 +379,11 @@ _add(
     "published_only",
     "\nUNION ALL\n".join(f"SELECT '{k}' AS kind, id, slug FROM {t} WHERE status = 'published'" for k, t in _SIX.items()),
 )
+_add(
+    "slug_points",
+    """SELECT kind, c.id, c.slug, c.name FROM companies c, (SELECT unnest(['id', 'slug']) AS kind) k
+WHERE c.id IN (SELECT company_id FROM jobs WHERE company_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, company_id LIMIT 5)""",
+)
 _add(
     "slug_lookup",
     """SELECT e.event_id AS request_id, 'c-' || e.user_id AS slug, c.id, c.id IS NOT NULL AS found
@@ -465,7 +470,7 @@ FROM news_articles a LEFT JOIN users u ON u.id = a.author_id
 UNION ALL SELECT 'knowledge', a.id, coalesce(u.username, 'Technical Expert')
 FROM knowledge_articles a LEFT JOIN users u ON u.id = a.author_id""",
 )
-for _name in ("jobs_with_company", "jobs_with_company_spread"):
+for _name in ("jobs_with_company", "jobs_with_company_spread", "jobs_with_company_colocated"):
     _add(
         _name,
         "SELECT j.id, j.title, j.company_id, c.name AS company, c.slug AS company_slug"
@@ -495,9 +500,10 @@ _add("related_knowledge", _related("knowledge_articles", "category_id", "title")
 _add("related_jobs", _related("jobs", "company_id", "title"))
 _add("related_jobs_spread", _related("jobs", "company_id", "title"))
 _add("related_tools", _related("tools", "category_id", "name"))
-_add(
-    "company_profile",
-    """SELECT c.id AS company_id, c.name AS company, 'company' AS section, c.id AS item_id, c.name AS title, c.slug,
+for _name in ("company_profile", "company_profile_colocated"):
+    _add(
+        _name,
+        """SELECT c.id AS company_id, c.name AS company, 'company' AS section, c.id AS item_id, c.name AS title, c.slug,
   CAST(NULL AS VARCHAR) AS detail, coalesce(j.n, 0) AS n_jobs, coalesce(s.n, 0) AS n_services
 FROM shown_companies c
 LEFT JOIN (SELECT company_id, count(*) AS n FROM jobs WHERE status = 'published' GROUP BY 1) j ON j.company_id = c.id
@@ -506,8 +512,8 @@ UNION ALL SELECT c.id, c.name, 'jobs', j.id, j.title, j.slug, j.job_type || ' |
 FROM shown_companies c JOIN jobs j ON j.company_id = c.id WHERE j.status = 'published'
 UNION ALL SELECT c.id, c.name, 'services', s.id, s.name, s.slug, substring(s.description, 1, 100), NULL, NULL
 FROM shown_companies c JOIN services s ON s.provider_id = c.id WHERE s.status = 'published'""",
-    {"shown_companies": "SELECT * FROM companies WHERE status = 'published'"},
-)
+        {"shown_companies": "SELECT * FROM companies WHERE status = 'published'"},
+    )
 _add(
     "articles_with_tags",
     "\nUNION ALL\n".join(
@@ -545,6 +551,14 @@ _add(
         for name, (parent, child, key) in _REVERSE.items()
     ),
 )
+_add(
+    "reverse_relations_colocated",
+    "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS relation, CAST(p.id AS BIGINT) AS parent_id, c.id AS child_id"
+        f" FROM companies p LEFT JOIN {child} c ON c.{key} = p.id"
+        for name, child, key in (("jobs of company", "jobs", "company_id"), ("services of company", "services", "provider_id"))
+    ),
+)
 _add(
     "reverse_relation_counts",
     "\nUNION ALL\n".join(

@@ -30,6 +30,7 @@ from ..schemas import JOB_TYPES, LISTING_STATUSES, TABLES
 from ..session import run_folder
 from ..sources import blocks
 from ..sources.catalogue import read_catalogue, write_catalogue
+from ..sources import colocated, pointfiles
 from ..sources.exports import json_record, read_sitemap, write_feed, write_sitemap
 from ..sources.sitemapshards import read_sharded_sitemap, update_sitemap
 from ..sources.testviews import RAW_COLUMNS, Catalogue, from_events
@@ -292,6 +293,19 @@ def category_feed_tools(cat):
     return feeds.in_category(cat.tools, cat.tool_categories, CATEGORY).select("id", "name", "slug", "category")
 
 
+@query("slug_points")
+def slug_points(cat):
+    """Companies found by slug, and then by id, in a table stored for point look-ups; the asked ones are the busiest posters."""
+    path = run_folder(cat.spark, "points")
+    pointfiles.write_points(cat.companies, path, ["slug", "id"])
+    busiest = cat.jobs.where("company_id IS NOT NULL").groupBy("company_id").count().orderBy(F.desc("count"), "company_id").limit(5)
+    ids = [row.company_id for row in busiest.collect()]
+    by_id = pointfiles.find_points(cat.spark, path, cat.companies.schema, "id", [*ids, -1])
+    slugs = [row.slug for row in by_id.select("slug").collect()]
+    by_slug = pointfiles.find_points(cat.spark, path, cat.companies.schema, "slug", [*slugs, "nowhere", None])
+    return _union([_kind(kind, df, "id", "slug", "name") for kind, df in (("id", by_id), ("slug", by_slug))])
+
+
 @query("feed_record_by_slug")
 def feed_record_by_slug(cat):
     """The feed's record for every asked slug: one per labelled document, page and part."""
@@ -453,6 +467,43 @@ def reverse_relation_counts(cat):
     return relations.every_relation(cat, relations.children_counts)
 
 
+OWNER_BUCKETS = 8  # of these test tables; a large run takes about its largest table divided by 500 MB
+
+
+def _by_owner(cat, **keys):
+    """Some tables stored in buckets of their owner's key and opened again."""
+    root = run_folder(cat.spark, "colocated")
+    for name, key in keys.items():
+        colocated.write_colocated(getattr(cat, name), f"{root}/{name}", key, OWNER_BUCKETS)
+    return [colocated.Colocated(cat.spark, f"{root}/{name}") for name in keys]
+
+
+@query("jobs_with_company_colocated")
+def jobs_with_company_colocated(cat):
+    """Jobs with their company from tables that lie in the same buckets; jobs without a company come as they are."""
+    companies, jobs = _by_owner(cat, companies="id", jobs="company_id")
+    owned = colocated.by_owner(lambda c, j: feeds.jobs_with_company(j, c).select(*_JOB_COLUMNS), companies, jobs)
+    none = F.lit(None).cast("string")
+    alone = colocated.without_key(jobs).withColumns({"company": none, "company_slug": none})
+    return owned.unionByName(alone.select(*_JOB_COLUMNS))
+
+
+@query("company_profile_colocated")
+def company_profile_colocated(cat):
+    """Company profiles from companies, jobs and services in the same buckets."""
+    return colocated.by_owner(relations.company_profiles, *_by_owner(cat, companies="id", jobs="company_id", services="provider_id"))
+
+
+@query("reverse_relations_colocated")
+def reverse_relations_colocated(cat):
+    """The ways from companies to their jobs and services, from the same buckets: every pair."""
+    companies, *owned = _by_owner(cat, companies="id", jobs="company_id", services="provider_id")
+    return _union([
+        colocated.by_owner(lambda p, c, key=child.key, name=name: relations.children_of(p, c, key, name), companies, child)
+        for name, child in zip(("jobs of company", "services of company"), owned)
+    ])
+
+
 # ---------------------------------------------------------------- counts, pages, top-k
 
 
