@@ -134,6 +134,18 @@ def row_rules(
     return counted.select(F.lit(table).alias("table_name"), "rule", "column_name", "key", F.explode(each).alias("n"))
 
 
+def broken_row_counts(rule, have: set[str]) -> list[Column]:
+    """For one declared table, aggregates named ``rule:column`` that count the rows breaking each row rule, and ``rows:``.
+
+    Plain sums, so they can ride along with a write (``catalogue.write_checked``) or any other pass over the rows.
+    """
+    counts = [F.count(F.lit(1)).alias("rows:")]
+    counts += [F.count_if(F.col(c).isNull()).alias(f"not null:{c}") for c in rule.required() if c in have]
+    counts += [F.count_if(F.char_length(F.col(c)) > most).alias(f"length:{c}") for c, most in rule.lengths().items() if c in have]
+    counts += [F.count_if(~F.col(c).isin(*values)).alias(f"domain:{c}") for c, values in rule.domains.items() if c in have]
+    return counts
+
+
 def check_tables(tables: dict[str, DataFrame], rules: dict) -> DataFrame:
     """Every declared rule over every given table: ``rules`` is schemas.TABLES."""
     parts: list[DataFrame] = []

@@ -804,6 +804,21 @@ def _all_rules() -> list[str]:
 
 
 _add("violations_all", "\nUNION ALL\n".join(_all_rules()))
+
+
+def _rules_on_write():
+    for table, rule in TABLES.items():
+        held = _COLUMNS[table].split()
+        broken = [("not null", c, f"{c} IS NULL" if c in held else "true") for c in rule.required()]
+        broken += [("length", c, f"length({c}) > {size}") for c, size in rule.lengths().items() if c in held]
+        broken += [("domain", c, f"{c} NOT IN ({', '.join(f'{chr(39)}{v}{chr(39)}' for v in values)})")
+                   for c, values in rule.domains.items() if c in held]
+        yield f"SELECT '{table}' AS table_name, 'rows' AS rule, CAST(NULL AS VARCHAR) AS column_name, count(*) AS n FROM {table}"
+        for name, column, test in broken:
+            yield f"SELECT '{table}', '{name}', '{column}', count(*) FROM {table} WHERE {test} HAVING count(*) > 0"
+
+
+_add("violations_on_write", "\nUNION ALL\n".join(_rules_on_write()))
 _add(
     "violations_not_null",
     "\nUNION ALL\n".join(

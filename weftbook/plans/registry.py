@@ -29,7 +29,7 @@ from ..operators import (
 from ..schemas import JOB_TYPES, LISTING_STATUSES, TABLES
 from ..session import run_folder
 from ..sources import blocks
-from ..sources.catalogue import read_catalogue, write_catalogue
+from ..sources.catalogue import read_catalogue, write_catalogue, write_checked
 from ..sources import colocated, pointfiles
 from ..sources.exports import json_record, read_sitemap, write_feed, write_sitemap
 from ..sources.sitemapshards import read_sharded_sitemap, update_sitemap
@@ -778,6 +778,13 @@ def violations_all(cat):
     return integrity.check_tables({name: getattr(cat, name) for name in TABLES}, TABLES)
 
 
+@query("violations_on_write")
+def violations_on_write(cat):
+    """Every table stored, with the number of rows that break each row rule, counted while they are written."""
+    root = run_folder(cat.spark, "checked")
+    return _union([write_checked(getattr(cat, name), root, name) for name in TABLES])
+
+
 @query("violations_unique")
 def violations_unique(cat):
     return integrity.duplicates(cat.news_articles, "news_articles", ["content"], digest=True).unionByName(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.integrity import broken_row_counts
 from ..schemas import TABLES
 
 
@@ -91,3 +92,16 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") ->
     if "status" in df.columns:
         writer = writer.partitionBy("status")
     writer.parquet(f"{root}/{name}")
+
+
+def write_checked(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> DataFrame:
+    """``write_table`` with a report of the rows just written, taken while they pass: no second reading.
+
+    table_name, rule (not null, length or domain; ``rows`` for their number), column_name and n, one row per broken rule and one
+    for ``rows``.  The rows are stored whether they break a rule or not.  Columns the batch lacks are stored as NULL and count so.
+    """
+    df, seen = conform(df, name), Observation()
+    write_table(df.observe(seen, *broken_row_counts(TABLES[name], set(df.columns))), root, name, mode)
+    found = [(name, *key.split(":"), n) for key, n in seen.get.items() if n or key == "rows:"]
+    rows = [(table, rule, column or None, n) for table, rule, column, n in found]
+    return df.sparkSession.createDataFrame(rows, "table_name string, rule string, column_name string, n bigint")
