@@ -88,7 +88,7 @@ def test_memory_is_bounded(monkeypatch):
     for at in range(40):
         texts = [f"word{at} and{i} other{at * i} " + "y" * (at * 10) for i in range(20)]
         assert ids(own, texts) == [library.encode_ordinary(t) for t in texts]
-        assert own.kept < 5000 + 20 * 3 * 300 and all(len(s) <= byte_pairs.LONG for s in own.known)
+        assert own.kept < 5000 + 20 * 3 * 300 and all(len(s) <= byte_pairs.LONG for part in own.known for s in part)
     own.forget()
 
 

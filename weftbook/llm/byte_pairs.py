@@ -59,6 +59,8 @@ class ByteVocabulary:
             return
         import regex
 
+        self.packed = np.arange(len(self.bytes_of), dtype="<u4").tobytes()
+
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         # Every way in which two tokens make a third, once by the left and once by the right one.
@@ -84,7 +86,8 @@ class ByteVocabulary:
         self.settled = (lowest > size[:-1]).tolist()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes] = {}
+        """Drop what was learnt: ids by segment, apart for those that start a text and for those after a blank, without it."""
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.kept = 0
 
     def _ranks_with(self, token: int, others: np.ndarray, right: int) -> np.ndarray:
@@ -96,8 +99,8 @@ class ByteVocabulary:
         where = np.minimum(np.searchsorted(partners, others), len(partners) - 1)
         return np.where(partners[where] == others, ranks[where], NONE)
 
-    def replay(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of every word (none empty)."""
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word (none empty), each as a little-endian unsigned 32-bit integer."""
         if not words:
             return []
         ends = np.cumsum([len(w) for w in words])
@@ -152,7 +155,9 @@ class ByteVocabulary:
             if usable.any():
                 enter(ranks[usable], places[usable])
         alive = tokens[:n] >= 0
-        return np.split(tokens[:n][alive].astype("<u4"), np.cumsum(alive)[ends - 1][:-1])
+        flat = tokens[:n][alive].astype("<u4").tobytes()
+        cuts = (4 * np.cumsum(alive)[ends - 1]).tolist()
+        return [flat[low:high] for low, high in zip([0, *cuts], cuts)]
 
     def _together(self, rank: int, left, owner, tokens, behind, before) -> tuple[np.ndarray, np.ndarray]:
         """Which of the pairs at ``left`` are merged at once, and which have to wait for that.
@@ -177,62 +182,66 @@ class ByteVocabulary:
         odd = (steps - np.maximum.accumulate(np.where(chained, 0, steps))) % 2 == 1
         return left[~odd], left[:0]
 
-    def learn(self, new: list[str]) -> None:
-        """Find the ids of new segments, all in one index."""
-        ids: dict[str, bytes] = {}
-        found = [self.pattern.findall(s) for s in new]
-        fresh, texts = [], []
-        for word in set().union(*found):
-            raw = word.encode()
-            rank = self.ranks.get(raw)
-            if rank is not None:
-                ids[word] = rank.to_bytes(4, "little")
-            else:
-                texts.append(word)
-                fresh.append(raw)
-        ids.update((t, i.tobytes()) for t, i in zip(texts, self.replay(fresh)))
-        for segment, words in zip(new, found):
-            value = self.known[segment] = b"".join([ids[w] for w in words])
-            self.kept += 200 + 2 * len(segment) + len(value)
-
-    def _cut(self, texts: list[str]) -> Iterator[list[list[str]]]:
-        """Segments of every text, some texts at a time."""
-        cut, chars = [], 0
-        for text in texts:
-            parts = segments(text)
-            cut.append(parts[:1] + [" " + p for p in parts[1:]])
-            chars += len(text)
-            if chars >= CHUNK_CHARS:
-                yield cut
-                cut, chars = [], 0
-        yield cut
+    def learn(self, new: list[str], follows: int) -> None:
+        """Find the ids of new segments, all in one index; ``follows`` 1: a blank comes before each."""
+        known, findall, kept = self.known[follows], self.pattern.findall, 0
+        found = [findall(" " + s) for s in new] if follows else [findall(s) for s in new]
+        words = list(set().union(*found))
+        raw = [word.encode() for word in words]
+        ranks = [self.ranks.get(r) for r in raw]
+        merged = iter(self.replay([r for r, rank in zip(raw, ranks) if rank is None]))
+        packed = self.packed
+        ids = {
+            word: next(merged) if rank is None else packed[4 * rank : 4 * rank + 4] for word, rank in zip(words, ranks)
+        }
+        for segment, parts in zip(new, found):
+            value = known[segment] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[w] for w in parts])
+            kept += 200 + 2 * len(segment) + len(value)
+        self.kept += kept
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         if self.kept > KEPT_BYTES:
             self.forget()
-        known = self.known
-        fresh = set()
-        for cut in self._cut(texts):
-            fresh |= set().union(*cut).difference(known)
-        new, size = [], 0
-        for segment in fresh:
-            new.append(segment)
-            size += len(segment)
-            if size >= REPLAY_BYTES:
-                self.learn(new)
-                new, size = [], 0
-        self.learn(new)
-        out = [b"".join([known[s] for s in parts]) for cut in self._cut(texts) for parts in cut]
-        for segment in fresh:
-            if len(segment) > LONG:
-                self.kept -= 200 + 2 * len(segment) + len(known.pop(segment))
+        heads, rest = self.known
+        first, later, some, chars = set(), set(), [], 0
+        for text in texts:
+            parts = segments(text)
+            first.add(parts.pop(0))
+            some.append(parts)
+            chars += len(text)
+            if chars >= CHUNK_CHARS:
+                later.update(set().union(*some).difference(rest))
+                some, chars = [], 0
+        later.update(set().union(*some).difference(rest))
+        first.difference_update(heads)
+        for follows, fresh in enumerate((first, later)):
+            new, size = [], 0
+            for segment in fresh:
+                new.append(segment)
+                size += len(segment)
+                if size >= REPLAY_BYTES:
+                    self.learn(new, follows)
+                    new, size = [], 0
+            self.learn(new, follows)
+        out = []
+        for text in texts:
+            parts = segments(text)
+            ids = [heads[parts[0]]]
+            ids += [rest[p] for p in parts[1:]]
+            out.append(b"".join(ids))
+        for fresh, known in ((first, heads), (later, rest)):
+            for segment in fresh:
+                if len(segment) > LONG:
+                    self.kept -= 200 + 2 * len(segment) + len(known.pop(segment))
         return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for; ids that the vocabulary does not have stand for nothing."""
-        table, size = self.bytes_of, len(self.bytes_of)
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist() if i < size])
+        numbers = np.frombuffer(ids, "<u4")
+        if numbers.max(initial=0) >= len(self.bytes_of):
+            numbers = numbers[numbers < len(self.bytes_of)]
+        return b"".join(map(self.bytes_of.__getitem__, numbers.tolist()))
 
 
 _loaded: dict[tuple[str, str], ByteVocabulary] = {}
@@ -279,8 +288,23 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Encode and decode: doc_id, n_tokens, ids_sha256 and decoded_sha256 (lowercase hex of the ids' and the texts' bytes)."""
-    return decode(encode(docs, ranks, pattern), ranks).select(
+    """Encode and decode: doc_id, n_tokens, ids_sha256 and decoded_sha256 (lowercase hex of the ids' and the texts' bytes).
+
+    ``encode`` and then ``decode``, in one pass of one worker: ids do not leave it before they are decoded.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(ranks, pattern)
+        for ids, texts in text_runs(batches, HELD_CHARS):
+            encoded = words.encode(texts)
+            del texts
+            for at in range(0, len(ids), 200):
+                part = encoded[at : at + 200]
+                columns = [pa.array(ids[at : at + 200], pa.int64()), pa.array(part, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(map(words.decode, part), pa.binary())], schema=DECODED)
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.mapInArrow(work, "doc_id long, ids binary, decoded binary").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
