@@ -1,5 +1,6 @@
 """The trigram index against the scan."""
 
+import numpy as np
 import pytest
 
 from weftbook.operators import search, textindex
@@ -68,3 +69,49 @@ def test_real_tables(spark, sf_dir, tmp_path):
             scan = search.keyword_search(kind, getattr(cat, search.TABLE_OF[kind]), query, 1000)
             found = index.search(kind, query, 1000)
             assert [r.id for r in found.collect()] == [r.id for r in scan.collect()]
+
+
+def test_postings_without_a_row_per_trigram_and_item(spark, made):
+    tables, _ = made
+    plan = textindex.postings_of("tools", tables.tools)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_first_hits_need_no_join_with_all_candidates(spark, made, monkeypatch):
+    tables, root = made
+    monkeypatch.setattr(textindex, "NEAR", 4, raising=False)
+    index = textindex.TextIndex(spark, root, 8)
+    found = index.search("tools", "cotton", 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.id for r in found.collect()] == [r.id for r in search.keyword_search("tools", tables.tools, "cotton", 3).collect()]
+    for query in ("cot%jersey", "far away", "cotton%y", "nothing like it"):  # the first candidates are not enough
+        scan = search.keyword_search("tools", tables.tools, query, 10)
+        assert [r.id for r in index.search("tools", query, 10).collect()] == [r.id for r in scan.collect()], query
+
+
+@pytest.mark.parametrize("run,keys", [(1 << 20, 1 << 62), (5, 1 << 62), (1 << 20, 1000)])
+def test_postings_of_any_texts(monkeypatch, run, keys):
+    monkeypatch.setattr(textindex, "RUN_CHARS", run)
+    monkeypatch.setattr(textindex, "KEYS", keys)
+    texts = [t.lower() if t else t for t in TEXTS]
+    ids = [3, -7, (1 << 40) + 1, 3] * (len(texts) // 4)
+    batch = textindex.pa.RecordBatch.from_pydict({"id": ids, "a": texts, "b": texts[::-1]})
+    found = set()
+    for part in textindex._runs(iter([batch, batch])):
+        for row in part.to_pylist():
+            assert row["places"] == sorted(set(row["places"]))
+            found |= {(row["gram"], (row["block"] << textindex.BLOCK_BITS) + p) for p in row["places"]}
+    pairs = [(i, t or "") for i, t in [*zip(ids, texts), *zip(ids, texts[::-1])]]
+    assert found == {(t[k : k + 3], i) for i, t in pairs for k in range(len(t) - 2)}
+    assert list(textindex._postings(np.array([], np.int64), [])) == []
+
+
+def test_a_kind_without_items(spark, made, tmp_path):
+    tables, _ = made
+
+    class Two:
+        tools = tables.tools
+        companies = tables.tools.where("false").selectExpr("*", "'x' AS address")
+
+    textindex.write_index(Two(), str(tmp_path / "x"), buckets=2, kinds=("companies", "tools"))
+    assert len(textindex.TextIndex(spark, str(tmp_path / "x"), 2).search("tools", "far away").collect()) == 3
