@@ -73,3 +73,28 @@ def test_nulls_repeats_and_extra_columns(spark):
     rows = sentence_pieces.round_trip(docs, PATH).collect()
     assert sorted((r.doc_id or 0, r.n_ids, r.decoded_chars) for r in rows) == [(0, 2, 3), (1, 0, 0), (1, 0, 0), (2, 0, 0)]
     assert sentence_pieces.round_trip(docs.filter("false"), PATH).count() == 0
+
+
+def test_suffixes_are_sorted_by_several_codes_at_once(monkeypatch):
+    codes = np.random.default_rng(1).integers(32, 128, 5000)
+    codes[2000:2500] = codes[:500]
+    sorts, argsort = [], np.argsort
+    monkeypatch.setattr(sentence_pieces.np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    order = sentence_pieces.suffix_array(codes, 16)
+    assert len(sorts) <= 2
+    prefixes = [tuple(codes[i : i + 16]) for i in order]
+    assert prefixes == sorted(prefixes)
+
+
+@pytest.mark.parametrize("text", ["▁the▁tokenization▁of▁a▁text", "▁漢字かな▁the✓▁\U0001F61B", "".join(map(chr, range(33, 3000))) + "▁there", "q", "▁" * 40])
+def test_edges_are_all_occurrences(text):
+    codes = np.array([ord(c) for c in text], np.int64)
+    found = [tuple(map(int, edge)) for edge in zip(*OWN.edges(codes))]
+    pieces = {p: i for p, i in OWN.normal.items() if len(p) > 1}
+    spans = [(a, n) for a in range(len(text)) for n in range(2, OWN.longest + 1) if a + n <= len(text)]
+    assert found == [(a, n, pieces[text[a : a + n]]) for a, n in spans if text[a : a + n] in pieces]
+
+
+def test_known_segments_are_bytes():
+    OWN.encode(["some words of a text"])
+    assert all(type(ids) is bytes for ids in OWN.known.values())

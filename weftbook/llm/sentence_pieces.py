@@ -13,7 +13,9 @@ Texts meet no other row: encoding and decoding are narrow passes over the table.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from weftbook.llm.common import small_batches
 
 BLANK = "▁"
+SEGMENT = re.compile(" +[^ ]*")
 SEGMENTS_KEPT = 400_000
 INDEX_CHARS = 600_000
 CHUNK_CHARS = 3_000_000
+PACKED = 62  # bits of a number that several codes share
 LONG = 48  # segments with more characters are merged with a queue of their own
 NONE = np.int64(1) << 62
 
@@ -33,24 +37,45 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
 
+def numbered(codes: np.ndarray) -> np.ndarray:
+    """The numbers of the codes that occur, from 1 and in their order, by code; 0 for the others."""
+    met = np.zeros(int(codes.max()) + 1, bool)
+    met[codes] = True
+    return np.where(met, np.cumsum(met), 0)
+
+
+def packed(numbers: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """At every place the next ``width`` numbers as one; behind the end all are 0."""
+    n = len(numbers)
+    padded = np.concatenate([numbers, np.zeros(width, np.int64)])
+    key = padded[:n]
+    for k in range(1, width):
+        key = (key << bits) | padded[k : n + k]
+    return key
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes, sorted by their first ``depth`` or more codes."""
     n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    width = 1
-    while width < depth and n > 1:
-        behind = np.zeros(n, np.int64)
-        behind[:-width] = rank[width:] + 1 if width < n else 0
-        key = rank * (n + 1) + behind
-        order = np.argsort(key, kind="stable")
+    if not n:
+        return np.empty(0, np.int64)
+    number = numbered(codes)
+    bits = int(number.max()).bit_length()
+    width = max(min(PACKED // bits, depth), 1)  # so many codes are sorted at once
+    key = packed(number[codes], bits, width)
+    while True:
+        order = np.argsort(key)
+        if width >= depth:
+            return order
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         if rank[order[-1]] == n - 1:
-            break
+            return order
+        behind = np.zeros(n, np.int64)
+        behind[:-width] = rank[width:] + 1 if width < n else 0
+        key = rank * (n + 1) + behind
         width *= 2
-    return order
 
 
 class Vocabulary:
@@ -89,40 +114,55 @@ class Vocabulary:
         self.piece_codes = np.zeros((len(joined), self.longest), np.int64)
         for row, (p, _) in enumerate(joined):
             self.piece_codes[row, : len(p)] = [ord(c) for c in p]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids of a segment, 4 bytes each
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All occurrences of pieces of two or more characters: start, length and id, sorted by start, then length."""
-        n = len(codes)
+        if not len(codes) or not len(self.piece_ids):
+            return (np.empty(0, np.int64),) * 3
         order = suffix_array(codes, self.longest)
         padded = np.concatenate([codes, np.full(self.longest, -1, np.int64)])
+        # The first codes of all suffixes and pieces as one number each: the range of a short piece, and where longer ones can be.
+        number = numbered(codes)
+        bits = int(number.max()).bit_length()
+        width = min(PACKED // bits, self.longest)
+        keys = packed(number[codes], bits, width)[order]
+        sizes = self.piece_sizes
+        theirs = np.where(self.piece_codes < len(number), number[np.minimum(self.piece_codes, len(number) - 1)], 0)
+        inside = np.arange(self.longest) < sizes[:, None]
+        low, high = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        for k in range(width):
+            low = (low << bits) | np.where(inside[:, k], theirs[:, k], 0)
+            high = (high << bits) | np.where(inside[:, k], theirs[:, k], (1 << bits) - 1)
+        low, high = np.searchsorted(keys, low), np.searchsorted(keys, high, side="right")
+        high = np.where((inside & (theirs == 0)).any(axis=1), low, high)
 
         def border(after: bool) -> np.ndarray:
             """First place in the order whose suffix is not before (or not before and not starting with) each piece."""
-            low, high = np.zeros(len(self.piece_ids), np.int64), np.full(len(self.piece_ids), n, np.int64)
-            while (live := np.nonzero(low < high)[0]).size:
-                middle = (low[live] + high[live]) // 2
-                start, sizes = order[middle], self.piece_sizes[live]
+            left, right = np.where(after & (sizes <= width), high, low), np.where(sizes > width, high, 0)
+            while (live := np.nonzero(left < right)[0]).size:
+                middle = (left[live] + right[live]) // 2
+                start = order[middle]
                 less = np.zeros(live.size, bool)
                 equal = np.ones(live.size, bool)
-                for i in range(self.longest):
-                    ask = np.nonzero(equal & (i < sizes))[0]
+                for i in range(width, self.longest):
+                    ask = np.nonzero(equal & (i < sizes[live]))[0]
                     if not ask.size:
                         break
-                    mine, theirs = padded[start[ask] + i], self.piece_codes[live[ask], i]
-                    less[ask] = mine < theirs
-                    equal[ask] = mine == theirs
+                    mine, piece = padded[start[ask] + i], self.piece_codes[live[ask], i]
+                    less[ask] = mine < piece
+                    equal[ask] = mine == piece
                 before = (less & ~equal) | (equal if after else False)
-                low[live] = np.where(before, middle + 1, low[live])
-                high[live] = np.where(before, high[live], middle)
-            return low
+                left[live] = np.where(before, middle + 1, left[live])
+                right[live] = np.where(before, right[live], middle)
+            return left
 
         first, last = border(False), border(True)
         counts = last - first
         places = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         starts = order[places]
         rows = np.repeat(np.arange(len(counts)), counts)
-        by_place = np.lexsort((self.piece_sizes[rows], starts))
+        by_place = np.argsort(starts * (self.longest + 1) + self.piece_sizes[rows])
         return starts[by_place], self.piece_sizes[rows][by_place], self.piece_ids[rows][by_place]
 
     def _finish(self, text: str) -> list[int]:
@@ -195,7 +235,7 @@ class Vocabulary:
 
     def learn(self, segments: list[str]) -> None:
         """Find the ids of new segments, all in one index."""
-        joined = "".join(segments)
+        joined = "".join(segments).replace(" ", BLANK)
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
         sizes = np.array([len(s) for s in segments], np.int64)
         ends = np.cumsum(sizes)
@@ -232,16 +272,16 @@ class Vocabulary:
         for i in range(own.shape[1]):
             longer = many[which] > i
             flat[places[longer] + i] = own[which[longer], i]
-        borders = behind[np.searchsorted(starts, np.append(begins, len(codes)))]
-        for i, segment in enumerate(segments):
-            self.known[segment] = flat[borders[i] : borders[i + 1]]
+        borders = (4 * behind[np.searchsorted(starts, np.append(begins, len(codes)))]).tolist()
+        raw = flat.astype("<u4").tobytes()
+        self.known.update(zip(segments, (raw[a:b] for a, b in pairwise(borders))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > SEGMENTS_KEPT:
             self.known.clear()
         cut = [segments(t) for t in texts]
         new, size = [], 0
-        for segment in dict.fromkeys(s for parts in cut for s in parts if s not in self.known):
+        for segment in [s for s in dict.fromkeys(chain.from_iterable(cut)) if s not in self.known]:
             new.append(segment)
             size += len(segment)
             if size > INDEX_CHARS:
@@ -249,8 +289,7 @@ class Vocabulary:
                 new, size = [], 0
         if new:
             self.learn(new)
-        none = np.empty(0, np.uint32)
-        return [np.concatenate([self.known[s] for s in parts]) if parts else none for parts in cut]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4") for parts in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; byte pieces that are no UTF-8 come out as U+FFFD.  The blank set before every text goes again."""
@@ -261,18 +300,7 @@ class Vocabulary:
 
 def segments(text: str) -> list[str]:
     """Runs of blanks with the characters behind them; a text starts with one blank more."""
-    if not text:
-        return []
-    words = (" " + text).replace(BLANK, " ").split(" ")[1:]
-    out, blanks = [], ""
-    for word in words:
-        blanks += BLANK
-        if word:
-            out.append(blanks + word)
-            blanks = ""
-    if blanks:
-        out.append(blanks)
-    return out
+    return SEGMENT.findall(" " + text.replace(BLANK, " ")) if text else []
 
 
 _loaded: dict[str, Vocabulary] = {}
